@@ -1,0 +1,18 @@
+"""Queries over the operators for training text, each with its SQL where SQL can say it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from auditloom.llm import boilerplate as B
+from auditloom.session import table
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return B.main_lines(table(spark, d, "pages"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+}
+SQL: dict[str, str] = {}

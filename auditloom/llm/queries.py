@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from auditloom.llm import boilerplate as B
+from auditloom.llm import neardup as N
 from auditloom.session import table
 
 
@@ -12,7 +13,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return B.main_lines(table(spark, d, "pages"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return N.near_duplicate_pairs(table(spark, d, "pages"))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return N.near_duplicate_groups(table(spark, d, "pages"))
+
+
 QUERIES = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_groups": p2_groups,
 }
 SQL: dict[str, str] = {}

@@ -429,7 +429,7 @@ def _text_nodes(lines: list[str]) -> tuple[list[Node], int]:
         if not text:
             region += 1
             continue
-        u = cue + 1.0
+        u = cue + 1.5
         if line[:4] == "    " or line[:1] == "\t":
             u = 4.0
         elif text.count(" | ") >= 2 and len(text) < 260 and max(map(len, text.split(" | "))) < 40:
@@ -439,11 +439,11 @@ def _text_nodes(lines: list[str]) -> tuple[list[Node], int]:
         elif RELATED.match(text) and len(text) < 60 or REPLIES.match(text) and len(text) < 40:
             u += CUE["related"]
             related = True
-        elif len(text) > 60 and text[-1] in ".?!…:”\"»":
+        elif len(text) > 30 and text[-1] in ".?!…:”\"»":
             u += 1.0
         if related and line[:4] != "    ":
             u += CUE["in_related"]
-        if u > 1.5:
+        if u > 2.0:
             seen_body = True
         node = Node(no, text, u, 0, "", "")
         node.region = region

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from auditloom.llm import boilerplate as B
 from auditloom.llm import neardup as N
+from auditloom.llm import residue as R
 from auditloom.session import table
 
 
@@ -21,9 +22,19 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return N.near_duplicate_groups(table(spark, d, "pages"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return R.residue(table(spark, d, "pages")).select("seq").distinct()
+
+
+def p3_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return R.residue(table(spark, d, "pages"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
+    "p3_found": p3_found,
+    "p3_kinds": p3_kinds,
 }
 SQL: dict[str, str] = {}

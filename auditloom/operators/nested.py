@@ -10,9 +10,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.session import map_arrow
+
 EMITTED = "crawl_id long, site string, kind string, pos int, sub int, item_key string, pk string, parent_pk string, payload string"
 
 #: Schema of the payload of each tag.
@@ -128,7 +130,7 @@ def flatten(records: DataFrame, with_payload: bool = True) -> DataFrame:
     Extra columns of the input are ignored; an empty input gives an empty result.
     """
     src = latest_payloads(records.select("crawl_id", "site", "received_at", "payload"))
-    return src.mapInArrow(_emit(with_payload), EMITTED)
+    return map_arrow(src, _emit(with_payload), EMITTED)
 
 
 def write_tables(emitted: DataFrame, path: str) -> None:

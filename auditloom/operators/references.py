@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.session import materialise
+from auditloom.session import materialise, ship
 
 #: Bits of one bitmap, as bitmap_construct_agg makes them.
 BITMAP_BITS = 32_768
@@ -63,6 +63,7 @@ def orphan_references(pages: DataFrame, late_after: str = "24 hours") -> DataFra
     without a fetch time a row cannot be late. A link that a page repeats counts once. An empty table
     gives an empty result.
     """
+    ship(pages.sparkSession)
     links = (
         pages.where(F.col("links").isNotNull() & F.col("site").isNotNull())
         .select("seq", "site", "fetched_at", F.explode(F.array_distinct("links")).alias("link"))

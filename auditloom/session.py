@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +50,31 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once an application; they need not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():
+        out = Path(tempfile.mkdtemp(prefix="auditloom-code-")) / "auditloom.zip"
+        with zipfile.ZipFile(out, "w") as z:
+            for f in sorted(root.rglob("*")):
+                if f.suffix in (".py", ".json", ".txt"):
+                    z.write(f, f.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(out))
+    _SHIPPED.add(app)
+
+
+def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package on the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def materialise(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back.
 

@@ -17,6 +17,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
+from auditloom.session import map_arrow
+
 # --- cue words, by language: en, de, fr, es -----------------------------------------------------
 
 CONSENT = re.compile(
@@ -83,12 +85,17 @@ _TOKEN = re.compile(r"<!--|<!(?:doctype|\[cdata\[)[^<>]*>|<\?xml[^<>]*>|<(/?)([A
 _STARTS = re.compile(r"\s{0,3}<(?:!--|!doctype\s+html|html|head|body|div|nav|header|article|main|section|p|table|ul|h[1-6])\b", re.I)
 _DOCUMENT = re.compile(r"^<(?:!doctype\s+html|html|body)\b[^<>]*>", re.I | re.M)
 _CLOSES = re.compile(r"</(?:html|head|body|div|article|main|section|p|table|ul|h[1-6]|a|span)\s*>", re.I)
-_SPACE = re.compile(r"\s+")
 _HIDDEN = frozenset(["script", "style", "noscript", "head", "title", "template", "svg", "textarea", "select", "iframe", "object"])
 _BLOCKS = frozenset(["div", "nav", "aside", "footer", "header", "main", "article", "section", "td", "th", "tr", "ul", "ol", "dl", "table", "tbody", "form", "blockquote", "figure", "body", "html"])
+_LISTS = frozenset(["ul", "ol", "dl"])
+_WALLS = frozenset(["footer", "nav", "aside"])
 _HOLDERS = frozenset(TAG) - {""}
 _INLINE = frozenset(["span", "a", "b", "strong", "button", "label", "code"])
 _VOID_BREAK = frozenset(["br", "hr"])
+#: The commonest lines, which need no tokens: one element with text, and a list entry with one link.
+_SIMPLE = re.compile(r"\s*<(p|li|span|h[1-6]|b)>([^<>]*)</\1>\s*$")
+_LINKED = re.compile(r"\s*<li><a(?: [^<>]*)?>([^<>]*)</a></li>\s*$")
+_LI = (("open", "li"), ("close", "li"))
 _CRUMB_SIGN = re.compile(" [›»>→/] ")
 _CRUMB = re.compile(r"^[^›»>|]{1,60}( [›»>→/] [^›»>→]{1,120}){2,}$")
 
@@ -166,20 +173,22 @@ def min_cut(u: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """
     n = len(u)
     u = list(u)
-    near: list[dict[int, float]] = [{} for _ in range(n)]
+    near: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    total = [0.0] * n
     for i, j, w in edges:
-        near[i][j] = near[i].get(j, 0.0) + w
-        near[j][i] = near[j].get(i, 0.0) + w
-    total = [sum(x.values()) for x in near]
+        near[i].append((j, w))
+        near[j].append((i, w))
+        total[i] += w
+        total[j] += w
     side: list[bool | None] = [None] * n
-    todo = deque(i for i in range(n) if abs(u[i]) >= total[i])
+    todo = [i for i in range(n) if abs(u[i]) >= total[i]]
     while todo:
-        i = todo.popleft()
+        i = todo.pop()
         if side[i] is not None:
             continue
         up = u[i] >= 0
         side[i] = up
-        for j, w in near[i].items():
+        for j, w in near[i]:
             if side[j] is None:
                 u[j] += w if up else -w
                 total[j] -= w
@@ -191,9 +200,13 @@ def min_cut(u: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     return side  # type: ignore[return-value]
 
 
-def _max_flow(rest: list[int], u: list[float], near: list[dict[int, float]], side: list[bool | None]) -> None:
+def _max_flow(rest: list[int], u: list[float], near: list[list[tuple[int, float]]], side: list[bool | None]) -> None:
     """Shortest augmenting paths over the unsettled nodes; nodes that still reach the sink get False."""
-    cap: dict[int, dict[int, float]] = {i: {j: w for j, w in near[i].items() if side[j] is None} for i in rest}
+    cap: dict[int, dict[int, float]] = {i: {} for i in rest}
+    for i in rest:
+        for j, w in near[i]:
+            if side[j] is None:
+                cap[i][j] = cap[i].get(j, 0.0) + w
     src = {i: u[i] for i in rest if u[i] > 0}
     snk = {i: -u[i] for i in rest if u[i] < 0}
     while True:
@@ -232,6 +245,11 @@ def _max_flow(rest: list[int], u: list[float], near: list[dict[int, float]], sid
         side[i] = i not in reach
 
 
+def _tidy(text: str) -> str:
+    """Every run of white space as one blank."""
+    return " ".join(text.split())
+
+
 def _holder(open_tags: list[str], before: str | None) -> str:
     """The element that holds a text: the innermost block, else an inline element that holds all text so far."""
     for t in reversed(open_tags):
@@ -253,8 +271,17 @@ def _parse_line(line: str) -> tuple:
     if got is not None:
         return got
     if "<" not in line:
-        text = _SPACE.sub(" ", html.unescape(line) if "&" in line else line).strip()
+        text = _tidy(html.unescape(line) if "&" in line else line)
         got = ((), text, 0.0, _cues(text) if text else 0.0, "")
+    elif (m := _SIMPLE.match(line)) is not None:
+        tag, raw = m.group(1), m.group(2)
+        text = _tidy(html.unescape(raw) if "&" in raw else raw)
+        events = (("open", tag), ("close", tag)) if tag in ("p", "li") else ()
+        got = (events, text, 0.0, _cues(text) if text else 0.0, tag if text else "")
+    elif (m := _LINKED.match(line)) is not None:
+        raw = m.group(1)
+        text = _tidy(html.unescape(raw) if "&" in raw else raw)
+        got = (_LI, text, 1.0 if text else 0.0, _cues(text) if text else 0.0, "li" if text else "")
     else:
         events, parts, at, links, in_a, hidden, holder, first_holder = [], [], 0, 0, 0, "", [], None
         n = len(line)
@@ -311,7 +338,7 @@ def _parse_line(line: str) -> tuple:
             if rest.strip() and (first_holder is None or first_holder in _INLINE):
                 first_holder = _holder(holder, first_holder)
         raw = "".join(parts)
-        text = _SPACE.sub(" ", html.unescape(raw) if "&" in raw else raw).strip()
+        text = _tidy(html.unescape(raw) if "&" in raw else raw)
         share = min(1.0, links / max(1, len(text)))
         got = (tuple(events), text, share, _cues(text) if text else 0.0, first_holder or "")
     if len(_PARSED) > 60_000:
@@ -332,6 +359,7 @@ def _html_nodes(lines: list[str]) -> tuple[list[Node], int]:
     nodes: list[Node] = []
     stack: list[tuple[str, int]] = [("root", 0)]
     n_blocks, hidden, related, p_id, pre = 1, "", -1, 0, 0
+    container, in_list, walled = "", False, False
     for no, line in enumerate(lines, 1):
         if hidden:
             end = "-->" if hidden == "comment" else f"</{hidden}"
@@ -343,7 +371,6 @@ def _html_nodes(lines: list[str]) -> tuple[list[Node], int]:
             line = line[gt + 1 :] if gt >= 0 else ""
         events, text, share, cue, holder = _parse_line(line)
         depth_before, opened, low, was_p, was_pre = len(stack), False, len(stack), p_id, pre
-        li_in_list = False
         for what, tag in events:
             if what == "open":
                 if tag == "p":
@@ -372,18 +399,20 @@ def _html_nodes(lines: list[str]) -> tuple[list[Node], int]:
                 hidden = tag
             elif what == "comment":
                 hidden = "comment"
+        if opened or low < depth_before:
+            container = next((t for t, _ in reversed(stack) if t in CONTAINER), "")
+            in_list = any(t in _LISTS for t, _ in stack[-2:])
+            walled = any(t in _WALLS for t, _ in stack)
         if hidden and hidden != "comment":
             # closed again in the same line?
             last = [e for e in events if e[1] == hidden]
             if last and last[-1][0] == "close":
                 hidden = ""
-        if related >= 0 and (low < related or opened and not text or opened and len(stack) < depth_before or any(t in ("footer", "nav", "aside") for t, _ in stack[related:])):
+        if related >= 0 and (low < related or opened and not text or opened and len(stack) < depth_before or walled and any(t in _WALLS for t, _ in stack[related:])):
             related = -1
         if not text:
             continue
         inner = stack[-1][0]
-        container = next((t for t, _ in reversed(stack) if t in CONTAINER), "")
-        in_list = any(t in ("ul", "ol", "dl") for t, _ in stack[-2:])
         u = cue
         if container:
             u += CONTAINER[container]
@@ -454,7 +483,7 @@ def _text_nodes(lines: list[str]) -> tuple[list[Node], int]:
 def _plain_line(line: str) -> tuple:
     got = _PARSED.get("\0" + line)
     if got is None:
-        text = _SPACE.sub(" ", line).strip()
+        text = _tidy(line)
         got = ((), text, 0.0, _cues(text) if text else 0.0, "")
         _PARSED["\0" + line] = got
     return got
@@ -515,4 +544,4 @@ def main_lines(pages: DataFrame) -> DataFrame:
 
     Repeated rows are labelled each for itself; null and blank bodies yield nothing; other columns are ignored.
     """
-    return pages.select("seq", "body").mapInArrow(_numbered, "seq long, line_no int")
+    return map_arrow(pages.select("seq", "body"), _numbered, "seq long, line_no int")

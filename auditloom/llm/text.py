@@ -21,13 +21,11 @@ def word_hashes(ws: list[str]) -> np.ndarray:
     """64-bit hashes of words, equal in every process."""
     if len(_SEEN) > 400_000:
         _SEEN.clear()
-    seen = _SEEN
-    out = []
-    for w in ws:
-        h = seen.get(w)
-        if h is None:
-            h = seen[w] = xxhash.xxh64_intdigest(w)
-        out.append(h)
+    out = list(map(_SEEN.get, ws))
+    if None in out:
+        for i, h in enumerate(out):
+            if h is None:
+                out[i] = _SEEN[ws[i]] = xxhash.xxh64_intdigest(ws[i])
     return np.array(out, dtype=np.uint64)
 
 
@@ -39,6 +37,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def _mul(i: int) -> np.uint64:
+    return _MUL[i % len(_MUL)] + np.uint64(2 * (i // len(_MUL)))
+
+
+def text_hash(ws: list[str]) -> int:
+    """One signed 64-bit hash of a sequence of words."""
+    return xxhash.xxh64_intdigest(" ".join(ws)) - (1 << 63)
+
+
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of ``k`` words, in order; a shorter text is one run."""
     n = len(h)
@@ -48,7 +55,7 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
         k = n
     out = h[: n - k + 1] * _MUL[0]
     for i in range(1, k):
-        out = mix(out) + h[i : n - k + 1 + i] * _MUL[i]
+        out = mix(out) + h[i : n - k + 1 + i] * _mul(i)
     return mix(out)
 
 
@@ -66,10 +73,9 @@ def simhash(h: np.ndarray) -> int:
 
 def permutations(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(seed)
-    return r.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 2**63, n, dtype=np.uint64)
+    return r.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 2**32, n, dtype=np.uint32)
 
 
 def minhash(sh: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One 32-bit minimum per permutation."""
-    x = (sh.astype(np.uint64)[:, None] * a[None, :] + b[None, :]) >> np.uint64(32)
-    return x.min(axis=0).astype(np.uint32)
+    """One 32-bit minimum per permutation over distinct 32-bit hashes."""
+    return (a[:, None] * sh[None, :] + b[:, None]).min(axis=1)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from auditloom.llm import boilerplate as B
+from auditloom.llm import leakage as L
 from auditloom.llm import neardup as N
+from auditloom.llm import packing as K
+from auditloom.llm import quality as Q
 from auditloom.llm import residue as R
 from auditloom.session import table
 
@@ -30,11 +33,46 @@ def p3_kinds(spark: SparkSession, d: str) -> DataFrame:
     return R.residue(table(spark, d, "pages"))
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return K.containers(table(spark, d, "documents"))
+
+
+def p8_summary(spark: SparkSession, d: str) -> DataFrame:
+    return K.packing_summary(p8_containers(spark, d))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return L.leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def p9_paraphrases(spark: SparkSession, d: str) -> DataFrame:
+    return L.paraphrased_items(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return Q.not_prose(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return Q.text_statistics(table(spark, d, "documents"))
+
+
+def p10_outlierness(spark: SparkSession, d: str) -> DataFrame:
+    return Q.outlierness(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_kinds": p3_kinds,
+    "p8_containers": p8_containers,
+    "p8_summary": p8_summary,
+    "p9_found": p9_found,
+    "p9_paraphrases": p9_paraphrases,
+    "p10_found": p10_found,
+    "p10_statistics": p10_statistics,
+    "p10_outlierness": p10_outlierness,
 }
 SQL: dict[str, str] = {}

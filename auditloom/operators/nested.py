@@ -43,10 +43,15 @@ def latest_payloads(records: DataFrame) -> DataFrame:
     )
 
 
+def _clean(s: str) -> str:
+    """The text with lone surrogates, which no UTF-8 holds, replaced."""
+    return s if s.isascii() else s.encode("utf-8", "replace").decode("utf-8")
+
+
 def _text(v) -> str:
     if v is None:
         return ""
-    return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    return _clean(v if isinstance(v, str) else json.dumps(v, ensure_ascii=False))
 
 
 def _items(v) -> list:
@@ -91,7 +96,7 @@ def visit(payload: str | None):
             for n, (name, values) in enumerate(headers.items()):
                 for sub, v in enumerate(_items(values)):
                     if v is not None:
-                        yield "header", pos, sub, name, f"{pk}/header/{n}/{sub}", pk, {"name": name, "value": _text(v)}
+                        yield "header", pos, sub, _clean(name), f"{pk}/header/{n}/{sub}", pk, {"name": name, "value": _text(v)}
     for kind, field, key in (("issue", "issues", "check_name"), ("lighthouse", "lighthouse", "url")):
         for pos, item in enumerate(_items(record.get(field))):
             if isinstance(item, dict):
@@ -113,7 +118,7 @@ def _emit(with_payload: bool):
             rows: list[tuple] = []
             for cid, site, payload in zip(*(batch.column(n).to_pylist() for n in ("crawl_id", "site", "payload"))):
                 for kind, pos, sub, key, pk, parent, flat in visit(payload):
-                    rows.append((cid, site, kind, pos, sub, key, pk, parent, json.dumps(flat, ensure_ascii=False) if with_payload else None))
+                    rows.append((cid, site, kind, pos, sub, key, pk, parent, _clean(json.dumps(flat, ensure_ascii=False)) if with_payload else None))
                     if len(rows) >= 20_000:
                         yield flush(rows)
                         rows = []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -107,14 +108,17 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def _cleanup() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        return
-    try:
-        for path in _WORK.get("steps", []) + _WORK.get("own", []):
-            _delete(spark, path)
-    except Exception:
-        pass
+    """At exit: by the file system where the folder is one, as the JVM may be gone; else through Spark."""
+    for path in _WORK.get("steps", []) + _WORK.get("own", []):
+        if path.startswith("file:") or path.startswith("/"):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+            continue
+        try:
+            spark = SparkSession.getActiveSession()
+            if spark is not None:
+                _delete(spark, path)
+        except Exception:
+            return
 
 
 atexit.register(_cleanup)

@@ -107,6 +107,8 @@ def test_flat_tables_round_trip(spark, tmp_path):
 
 
 def test_flatten_empty_and_no_constants(spark):
+    lone = '{"pages": {"url": "a\\ud800", "headers": {"h\\udfff": "v\\ud800"}}}'
+    assert {r.item_key for r in N.flatten(crawls(spark, (1, 0, lone))).collect()} == {"a?", "h?"}
     assert N.flatten(crawls(spark).limit(0)).count() == 0
     assert list(N.visit('{"pages": [{"url": NaN}]}')) == []
     assert list(N.visit("[" * 100_000)) == []

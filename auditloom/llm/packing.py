@@ -110,25 +110,21 @@ def balance(costs: list[int], group: int = GROUP) -> list[int]:
 
 
 def _pack_shard(capacity: int, tiers: tuple[int, ...], group: int):
-    def run(pdf):
-        import pandas as pd
+    def run(key, part):
+        import pyarrow as pa
 
-        pdf = pdf.sort_values(["doc_id", "piece"], kind="stable")
-        sizes = pdf["tokens"].tolist()
+        part = part.sort_by([("doc_id", "ascending"), ("piece", "ascending")])
+        sizes = part["tokens"].to_pylist()
         where = pack(sizes, capacity, tiers)
         cost: dict[int, int] = {}
         for c, s in zip(where, sizes):
             cost[c] = cost.get(c, 0) + s * s  # attention within items
         groups = balance([cost[c] for c in range(len(cost))], group)
-        shard = int(pdf["shard"].iloc[0])
-        return pd.DataFrame(
+        base = key[0].as_py() << 32
+        return pa.table(
             {
-                "doc_id": pdf["doc_id"].to_numpy(),
-                "piece": pdf["piece"].to_numpy(),
-                "tokens": pdf["tokens"].to_numpy(),
-                "tier": [next(t for t in tiers if s <= t) for s in sizes],
-                "container": [(shard << 32) + c for c in where],
-                "step_group": [(shard << 32) + groups[c] for c in where],
+                "doc_id": part["doc_id"], "piece": part["piece"], "tokens": part["tokens"], "tier": pa.array([next(t for t in tiers if s <= t) for s in sizes], pa.int32()),
+                "container": pa.array([base + c for c in where], pa.int64()), "step_group": pa.array([base + groups[c] for c in where], pa.int64()),
             }
         )
 
@@ -138,7 +134,7 @@ def _pack_shard(capacity: int, tiers: tuple[int, ...], group: int):
 def containers(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, capacity: int = CAPACITY, tiers: tuple[int, ...] = TIERS) -> DataFrame:
     """``(doc_id, piece, tokens, tier, container, step_group)``, one row per item or piece.
 
-    Texts of no tokens have a container too. Repeated rows are items of their own. Shards are drawn by
+    Texts of no tokens have a container too, and so do rows without ``doc_id``. Repeated rows are items of their own. Shards are drawn by
     hash and sized by count, so none grows with the data. An empty table gives an empty result.
     """
     if tiers[-1] != capacity:
@@ -148,7 +144,7 @@ def containers(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, capac
     return (
         items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
         .groupBy("shard")
-        .applyInPandas(_pack_shard(capacity, tiers, GROUP), "doc_id long, piece int, tokens int, tier int, container long, step_group long")
+        .applyInArrow(_pack_shard(capacity, tiers, GROUP), "doc_id long, piece int, tokens int, tier int, container long, step_group long")
     )
 
 

@@ -8,13 +8,15 @@ only the nodes peeled in it and those peeled later, which get few towards the ro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from auditloom.session import materialise, release
+from auditloom.session import materialise
 
-#: Peel rounds that run as one job before the peeled nodes are split off. Two only costs jobs, more carries peeled rows along.
-ROUNDS_PER_JOB = 4
+#: Most rounds that run as one job. The first rounds, which hold most nodes, run in jobs of 1, 2 and 4 when
+#: peeling and one by one when paths are assigned, so few rows are carried along.
+ROUNDS_PER_JOB = 8
+SINGLE_ROUNDS = 4
 CYCLE = "(cycle)"
 _NODE = ["tree", "name", "parent", "pending", "size", "height", "round"]
 
@@ -99,17 +101,28 @@ def peel(defs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         for i in range(steps):
             step = _peel_once(step, r + i)
         r += steps
-        state = materialise(step)
+        seen = Observation()  # counted while written
+        state = materialise(step.observe(seen, F.count("round").alias("done"), F.count(F.lit(1)).alias("all")))
         part = state.where(F.col("round").isNotNull())
         rest = state.where(F.col("round").isNull())
         done.append(part)
-        n_done, n_rest = state.agg(F.count("round"), F.count("*") - F.count("round")).first()
-        if n_rest == 0 or n_done == 0:
+        if seen.get["done"] in (0, seen.get["all"]):
             out = done[0]
             for d in done[1:]:
                 out = out.unionByName(d)
             return out, rest, r
-        live, steps = rest, ROUNDS_PER_JOB
+        live, steps = rest, min(2 * steps, ROUNDS_PER_JOB)
+
+
+def _blocks(rounds: list[int]) -> list[list[int]]:
+    """Rounds, descending, in the groups that one job handles."""
+    out: list[list[int]] = []
+    for r in rounds:
+        if out and r >= SINGLE_ROUNDS and len(out[-1]) < ROUNDS_PER_JOB:
+            out[-1].append(r)
+        else:
+            out.append([r])
+    return out
 
 
 def hierarchy(rows: DataFrame) -> DataFrame:
@@ -125,22 +138,20 @@ def hierarchy(rows: DataFrame) -> DataFrame:
     rounds = sorted((x[0] for x in peeled.select("round").distinct().collect()), reverse=True)  # one small number a round
     carried = ["tree", "name", "parent", "size", "height"]
     root_rows = peeled.where(F.col("parent").isNull()).select(*carried, F.array("name").alias("names"))
-    spark = rows.sparkSession
     done: list[DataFrame] = []
-    for r in rounds:
-        now = peeled.where((F.col("round") == r) & F.col("parent").isNotNull())
-        above = root_rows.where("height > 0").select("tree", F.col("name").alias("parent"), F.col("names").alias("_up"))
+    for block in _blocks(rounds):
+        now = peeled.where(F.col("round").isin(*block) & F.col("parent").isNotNull())
+        # climb within the block to the first node above it; the names passed on the way are kept
+        climbed = now.select(*carried, F.col("parent").alias("up"), F.array("name").alias("below"))
+        for _ in block[1:]:
+            step = now.select("tree", F.col("name").alias("up"), F.col("parent").alias("_next"))
+            climbed = climbed.join(step, ["tree", "up"], "left").select(
+                *carried, F.coalesce("_next", "up").alias("up"), F.when(F.col("_next").isNotNull(), F.array_prepend("below", F.col("up"))).otherwise(F.col("below")).alias("below")
+            )
+        above = root_rows.where("height > 0").select("tree", F.col("name").alias("up"), F.col("names").alias("_names"))
         for d in done:
-            above = above.unionByName(d.select("tree", F.col("name").alias("parent"), F.col("names").alias("_up")))
-        step = now.join(above, ["tree", "parent"]).select(*carried, F.array_append("_up", F.col("name")).alias("names"))
-        done.append(materialise(step))
-        if len(done) > 8:  # few large tables instead of one a round
-            merged = done[0]
-            for d in done[1:]:
-                merged = merged.unionByName(d)
-            kept = materialise(merged)
-            release(*done)
-            done = [kept]
+            above = above.unionByName(d.select("tree", F.col("name").alias("up"), F.col("names").alias("_names")))
+        done.append(materialise(climbed.join(above, ["tree", "up"]).select(*carried, F.concat("_names", "below").alias("names"))))
     paths = root_rows
     for d in done:
         paths = paths.unionByName(d)

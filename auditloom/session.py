@@ -70,10 +70,23 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan dealt out to all cores, if it has fewer partitions than there are cores.
+
+    Python work on few small files would leave cores idle. Inputs of any size to speak of have more
+    partitions than cores and are not shuffled; frames behind a shuffle are left as they are.
+    """
+    plan = df._jdf.queryExecution()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package on the workers."""
+    """``mapInArrow`` with this package on the workers, on all cores."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return (df if df.isStreaming else spread(df)).mapInArrow(fn, schema)
 
 
 def materialise(df: DataFrame, partition_by: str | None = None) -> DataFrame:

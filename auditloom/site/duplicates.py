@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +14,9 @@ from auditloom.model import INFO, WARNING, issue
 from auditloom.session import materialise, ship
 from auditloom.site.links import as_issues, union_issues
 
-HAMMING, BANDS, THIN = 3, 4, 100
+HAMMING, THIN = 3, 100
+#: The 64 bits in BANDS bands; each KEEP of them key one table, so hashes that differ in BANDS - KEEP bits at most agree in one.
+BANDS, KEEP = 6, 3
 #: Members of one block of a hot band; two blocks meet in one task.
 BLOCK = 2000
 
@@ -56,32 +60,42 @@ def body_classes(rows: DataFrame, key: str = "seq", body: str = "body", text: st
 
 
 def exact_issues(classes: DataFrame, all_pairs: bool = False) -> DataFrame:
-    """Copies of one body. By default each copy names the next in page order, so a group of ``n`` has ``n - 1`` issues.
+    """Copies of one body. By default the first page has an issue for each later copy, ``n - 1`` for a group of ``n``.
 
-    ``all_pairs`` gives one issue for each pair, a quadratic number.
+    ``all_pairs`` gives one issue for each pair, a quadratic number. The first page is a minimum taken
+    before the shuffle; copies are never sorted or gathered.
     """
     if all_pairs:
         a, b = classes.alias("a"), classes.alias("b")
         pairs = a.join(b, (F.col("a.sha") == F.col("b.sha")) & (F.col("a.seq") < F.col("b.seq"))).select(F.col("a.url").alias("u"), F.col("b.url").alias("v"))
     else:
-        pairs = classes.select(F.col("url").alias("u"), F.lead("url").over(Window.partitionBy("sha").orderBy("seq")).alias("v")).where("v IS NOT NULL")
+        first = classes.groupBy("sha").agg(F.min(F.struct("seq", "url")).alias("m"))
+        pairs = classes.join(first, "sha").where(F.col("seq") != F.col("m.seq")).select(F.col("m.url").alias("u"), F.col("url").alias("v"))
     return as_issues(pairs, issue("content/exact-duplicate", WARNING, F.concat(F.lit("page is an exact duplicate of "), F.col("v")), url=F.col("u")))
 
 
+def _keys(sim):
+    """``struct(table, masked hash)`` of every table."""
+    edge = [round(64 * i / BANDS) for i in range(BANDS + 1)]
+    for n, bands in enumerate(combinations(range(BANDS), KEEP)):
+        mask = sum(((1 << (edge[b + 1] - edge[b])) - 1) << edge[b] for b in bands)
+        mask -= (1 << 64) if mask >= 1 << 63 else 0
+        yield F.struct(F.lit(n).alias("k"), sim.bitwiseAND(F.lit(mask).cast("long")).alias("v"))
+
+
 def near_pairs(classes: DataFrame, most: int = HAMMING) -> DataFrame:
     """``(seq_a, seq_b, distance)`` between the first pages of different bodies whose SimHashes differ in ``most`` bits at most.
 
-    With more bands than differing bits, two such hashes agree in a band: the search is exact. Bodies
-    with one hash are chained, not paired, and a band value that many hashes share is joined in blocks.
+    Two such hashes agree in all bands but ``most``, so in one table's key: the search is exact, and keys of
+    about 32 bits keep chance meetings rare for any number of pages. Bodies with one hash are paired with
+    the first of them only, and a key that many hashes share is joined in blocks.
     """
-    if most >= BANDS:
-        raise ValueError(f"at most {BANDS - 1} bits")
+    if most > BANDS - KEEP:
+        raise ValueError(f"at most {BANDS - KEEP} bits")
     bodies = materialise(classes.groupBy("sha").agg(F.min("seq").alias("seq"), F.first("sim").alias("sim")))
-    same = bodies.select("seq", F.lead("seq").over(Window.partitionBy("sim").orderBy("seq")).alias("next")).where("next IS NOT NULL")
     hashes = materialise(bodies.groupBy("sim").agg(F.min("seq").alias("seq")))
-    width = 64 // BANDS
-    band = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("sim", k * width).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("v")) for k in range(BANDS)]))
-    idx = hashes.select("seq", "sim", band.alias("b")).select("seq", "sim", "b.k", "b.v")
+    same = bodies.join(hashes.withColumnRenamed("seq", "first"), "sim").where("seq <> first")
+    idx = hashes.select("seq", "sim", F.explode(F.array(*_keys(F.col("sim")))).alias("b")).select("seq", "sim", "b.k", "b.v")
     sized = idx.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1").select("k", "v", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
     live = idx.join(sized, ["k", "v"]).withColumn("blk", F.pmod(F.xxhash64("sim"), F.col("nb")).cast("int"))
     span = F.sequence(F.lit(0), F.col("nb") - 1)
@@ -89,7 +103,7 @@ def near_pairs(classes: DataFrame, most: int = HAMMING) -> DataFrame:
     right = live.select("k", "v", F.col("seq").alias("sb"), F.col("sim").alias("hb"), F.explode(span).alias("i"), F.col("blk").alias("j"))
     d = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
     across = left.join(right, ["k", "v", "i", "j"]).where("sa < sb").withColumn("distance", d).where(F.col("distance") <= most).select(F.col("sa").alias("seq_a"), F.col("sb").alias("seq_b"), "distance").distinct()
-    return across.unionByName(same.select(F.col("seq").alias("seq_a"), F.col("next").alias("seq_b"), F.lit(0).alias("distance")))
+    return across.unionByName(same.select(F.col("first").alias("seq_a"), F.col("seq").alias("seq_b"), F.lit(0).alias("distance")))
 
 
 def near_issues(classes: DataFrame) -> DataFrame:

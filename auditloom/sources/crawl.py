@@ -6,7 +6,6 @@ import gzip
 import io
 import ipaddress
 import json
-import os
 import socket
 import time
 from collections.abc import Callable, Iterator
@@ -15,6 +14,8 @@ from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from auditloom.functions.columns import authority, glob_regex, path
 from auditloom.model import PAGES
@@ -122,14 +123,19 @@ def add_to_frontier(seen: DataFrame, found: DataFrame, seed: str, max_pages: int
     return new.orderBy("seq", "url").limit(room)
 
 
-def crawl(spark: SparkSession, seed: str, fetch_level: Callable[[DataFrame], DataFrame], *, sitemap: list[str] = (), max_pages: int = 500, max_depth: int = 5, include: list[str] = (), exclude: list[str] = (), checkpoint: str | None = None) -> DataFrame:
+def crawl(spark: SparkSession, seed: str, fetch_level: Callable[[DataFrame], DataFrame], *, sitemap: list[str] = (), max_pages: int = 500, max_depth: int = 5, include: list[str] = (), exclude: list[str] = (), checkpoint: str | None = None, resume: str | None = None) -> DataFrame:
     """Breadth-first crawl, a level a round. ``fetch_level`` turns ``(url, depth, seq)`` into pages.
 
     Sitemap URLs go first with depth 1, then the seed with depth 0; the first entry of a URL counts.
+    With ``resume``, the crawl goes on from a snapshot of its frontier and returns the pages still to fetch.
     """
     start = [(u, 1, i) for i, u in enumerate(sitemap)] + [(seed, 0, len(sitemap))]
     found = spark.createDataFrame(start, "url string, depth int, seq long")
     seen = spark.createDataFrame([], "url string, depth int, seq long")
+    state = load_frontier(spark, resume) if resume else None
+    if state is not None:
+        seen = materialise(state.where("state = 'seen'").select("url", "depth", "seq"))
+        found = materialise(state.where("state = 'queued'").select("url", "depth", "seq"))
     listed = spark.createDataFrame([(u,) for u in sitemap], "url string").distinct()
     levels: list[DataFrame] = []
     while True:
@@ -148,6 +154,18 @@ def crawl(spark: SparkSession, seed: str, fetch_level: Callable[[DataFrame], Dat
     return out.drop("in_sitemap").join(F.broadcast(listed.withColumn("in_sitemap", F.lit(True))) if len(sitemap) <= 50_000 else listed.withColumn("in_sitemap", F.lit(True)), "url", "left").withColumn("in_sitemap", F.coalesce("in_sitemap", F.lit(False)))
 
 
+def crawl_sites(spark: SparkSession, seeds: list[str], fetch_level: Callable[[DataFrame], DataFrame], parallel: int = 3, **options) -> DataFrame:
+    """Crawls of several sites, ``parallel`` of them at a time, as one table of pages."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        parts = list(pool.map(lambda s: crawl(spark, s, fetch_level, **options), dict.fromkeys(map(normalise_url, seeds))))
+    out = parts[0] if parts else spark.createDataFrame([], PAGES)
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def save_frontier(seen: DataFrame, queue: DataFrame, folder: str, seed: str) -> None:
     """A snapshot from which a crawl can go on: seen and waiting URLs."""
     state = seen.join(queue.select("url").withColumn("w", F.lit(True)), "url", "left").select("url", "depth", "seq", F.when(F.col("w"), "queued").otherwise("seen").alias("state"), F.lit(seed).alias("seed"))
@@ -178,6 +196,18 @@ def cache_rows(pages: DataFrame) -> DataFrame:
     return pages.select("url", header("last-modified").alias("last_modified"), header("etag").alias("etag"), F.sha2(F.coalesce("body", F.lit("")), 256).alias("content_hash")).dropDuplicates(["url"])
 
 
+def save_cache(rows: DataFrame, folder: str) -> None:
+    materialise(rows).write.mode("overwrite").json(folder)
+
+
+def load_cache(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored cache, or an empty one if there is none."""
+    try:
+        return spark.read.schema(CACHE).json(folder)
+    except Exception:
+        return spark.createDataFrame([], CACHE)
+
+
 def changed_pages(pages: DataFrame, cache: DataFrame) -> DataFrame:
     """Pages that the cache doesn't hold with the same ETag or, without one, the same content."""
     now = cache_rows(pages)
@@ -222,14 +252,13 @@ def fetch_page(url: str, timeout: float = 10.0, agent: str = "auditloom/1.0", al
 def http_fetcher(rate_per_partition: float = 5.0, **options) -> Callable[[DataFrame], DataFrame]:
     """A ``fetch_level`` that asks each host from one task, at a limited rate; failures yield no page."""
 
+    schema = to_arrow_schema(_parse_datatype_string(PAGES))
+
     def each(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string
 
         from auditloom.functions.dom import links_and_assets
 
-        schema = to_arrow_schema(_parse_datatype_string(PAGES))
         for b in batches:
             rows = []
             for t in b.to_pylist():
@@ -246,6 +275,51 @@ def http_fetcher(rate_per_partition: float = 5.0, **options) -> Callable[[DataFr
     return lambda tasks: map_arrow(tasks.repartition(F.lower(authority(F.col("url")))), each, PAGES)
 
 
+def probe_link(url: str, timeout: float = 10.0, allow_private: bool = False) -> dict:
+    """One HEAD, or GET where HEAD isn't allowed, without following redirects."""
+    import http.client
+
+    out = {"url": url, "status_code": 0, "location": "", "content_length": 0, "timeout": False, "err": ""}
+    if not allow_private and not is_safe_url(url):
+        return {**out, "err": "address not allowed"}
+    u = urlsplit(url)
+    for method in ("HEAD", "GET"):
+        con = (http.client.HTTPSConnection if u.scheme == "https" else http.client.HTTPConnection)(u.netloc, timeout=timeout)
+        try:
+            con.request(method, (u.path or "/") + (f"?{u.query}" if u.query else ""))
+            r = con.getresponse()
+            out |= {"status_code": r.status, "location": r.getheader("Location") or "", "content_length": int(r.getheader("Content-Length") or 0)}
+            if r.status != 405:
+                break
+        except TimeoutError:
+            return {**out, "timeout": True, "err": "timeout"}
+        except (OSError, ValueError, http.client.HTTPException) as e:
+            return {**out, "err": str(e) or type(e).__name__, "timeout": "timeout" in str(e).lower() or "timed out" in str(e).lower()}
+        finally:
+            con.close()
+    return out
+
+
+def probe_links(targets: DataFrame, per_second: float = 2.0, **options) -> DataFrame:
+    """The probe table of ``targets(url)``: each host is asked from one task, at a limited rate."""
+    from auditloom.model import LINK_PROBE
+
+    schema = to_arrow_schema(_parse_datatype_string(LINK_PROBE))
+
+    def each(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            rows = []
+            for url in b.column("url").to_pylist():
+                rows.append(probe_link(url, **options))
+                time.sleep(1 / per_second)
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    urls = targets.select("url").where("url IS NOT NULL").distinct().repartition(F.lower(authority(F.col("url"))))
+    return map_arrow(urls, each, LINK_PROBE)
+
+
 def table_fetcher(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """A ``fetch_level`` that answers from stored pages: crawls without a network."""
     stored = pages.drop("depth", "seq")
@@ -265,6 +339,3 @@ def lighthouse_runner(mode: str):
         raise ValueError(f"unknown lighthouse mode {mode!r}")
     return lambda raw, url: lighthouse_from_api(raw, url, mode)
 
-
-def env_path(name: str, default: str = "") -> str:
-    return os.environ.get(name, default)

@@ -219,6 +219,12 @@ def test_frontier_crawl_cache(spark, tmp_path):
     got = crawl.crawl(spark, U, crawl.table_fetcher(p), sitemap=[U + "/b"], max_depth=2, checkpoint=str(tmp_path / "f"))
     assert {(r.url, r.depth, r.in_sitemap) for r in got.collect()} == {(U, 0, False), (U + "/a", 1, False), (U + "/b", 1, True), (U + "/c", 2, False)}
     assert crawl.load_frontier(spark, str(tmp_path / "f")).count() == 4 and crawl.load_frontier(spark, str(tmp_path / "none")) is None
+    snap = spark.createDataFrame([(U, 0, 0, "seen", U), (U + "/a", 1, 1, "queued", U), (U + "/b", 1, 2, "seen", U)], "url string, depth int, seq long, state string, seed string")
+    snap.write.parquet(str(tmp_path / "g"))
+    assert {r.url for r in crawl.crawl(spark, U, crawl.table_fetcher(p), resume=str(tmp_path / "g")).collect()} == {U + "/a", U + "/c"}
+    assert crawl.crawl_sites(spark, [U, "example.com"], crawl.table_fetcher(p), parallel=2).count() == 4
+    crawl.save_cache(crawl.cache_rows(p), str(tmp_path / "c"))
+    assert crawl.load_cache(spark, str(tmp_path / "c")).count() == 4 and crawl.load_cache(spark, str(tmp_path / "no")).count() == 0
     assert crawl.crawl(spark, U, crawl.table_fetcher(p), max_pages=2).count() == 2
     assert crawl.crawl(spark, U, crawl.table_fetcher(p), exclude=["/a"]).count() == 2
     old = crawl.cache_rows(p)
@@ -226,6 +232,53 @@ def test_frontier_crawl_cache(spark, tmp_path):
     assert sorted(r.url for r in crawl.changed_pages(new, old).collect()) == [U, U + "/new"]
 
 
+def test_fetch_and_probe_a_local_server(spark):
+    import gzip
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            if self.path in ("/old", "/loop"):
+                self.send_response(301)
+                self.send_header("Location", "/new" if self.path == "/old" else "/loop")
+                self.end_headers()
+                return
+            body = gzip.compress(b"<a href=/x>x</a>")
+            self.send_response(200 if self.path == "/new" else 404)
+            for k, v in (("Content-Type", "text/html; charset=utf-8"), ("Content-Encoding", "gzip"), ("Content-Length", str(len(body)))):
+                self.send_header(k, v)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def do_HEAD(self):
+            self.send_response(405)
+            self.end_headers()
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    try:
+        p = crawl.fetch_page(at + "/old", allow_private=True)
+        assert (p["url"], p["redirect_chain"], p["content_type"], p["body"]) == (at + "/new", [at + "/new"], "text/html", "<a href=/x>x</a>")
+        for bad in ("/loop",):
+            with pytest.raises(ValueError):
+                crawl.fetch_page(at + bad, allow_private=True)
+        with pytest.raises(ValueError):
+            crawl.fetch_page(at + "/new")
+        got = {r.url: r.status_code for r in crawl.probe_links(spark.createDataFrame([(at + "/none",), (at + "/old",)], "url string"), 100, allow_private=True).collect()}
+        assert got == {at + "/none": 404, at + "/old": 301}
+        assert crawl.probe_link(at + "/new")["err"] == "address not allowed"
+        tasks = spark.createDataFrame([(at + "/old", 0, 5), (at + "/loop", 1, 6)], "url string, depth int, seq long")
+        got = crawl.http_fetcher(100, allow_private=True)(tasks).collect()
+        assert [(r.url, r.seq, r.status_code, r.links, r.headers["content-encoding"]) for r in got] == [(at + "/new", 5, 200, [at + "/x"], ["gzip"])]
+    finally:
+        server.shutdown()
+
+
 def test_sitemaps_and_files(spark, tmp_path):
     import gzip
 

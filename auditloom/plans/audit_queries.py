@@ -427,6 +427,29 @@ SQL = {
         UNION ALL SELECT 'custom/slow', '', url FROM pages WHERE fetch_duration_ns // 1000000 > 1000 AND length(coalesce(body, '')) >= 1000""",
     "robots_decision": r"""WITH u AS (SELECT DISTINCT url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^#]*)', 1) AS p FROM pages WHERE url IS NOT NULL)
         SELECT url, CASE WHEN regexp_matches(p, '^/.*\?id=1') THEN true WHEN regexp_matches(p, '^/.*\?id=') THEN false WHEN starts_with(p, '/info/') THEN false ELSE true END AS allowed FROM u""",
+    "near_duplicate_pairs": r"""WITH d AS (SELECT coalesce(text, '') AS t, min(doc_id) AS seq FROM documents GROUP BY 1),
+        w AS (SELECT seq, unnest(list_filter(string_split_regex(t, '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '')) AS w FROM d),
+        u AS (SELECT DISTINCT w, hex(encode(w)) AS x FROM w),
+        h AS (SELECT w, list_reduce(list_transform(range(0, CAST(strlen(x) / 2 AS BIGINT)), lambda i: CAST(CAST('0x' || substr(x, 2 * i + 1, 2) AS INTEGER) AS HUGEINT)),
+            lambda a, b: (xor(a, b) * 1099511628211) % 18446744073709551616, 14695981039346656037::HUGEINT) AS h FROM u),
+        bits AS (SELECT seq, k, sum(CASE WHEN (h // power(2::HUGEINT, k)::HUGEINT) % 2 = 1 THEN 1 ELSE -1 END) AS v FROM w JOIN h ON w.w = h.w CROSS JOIN range(64) r(k) GROUP BY seq, k),
+        sim AS (SELECT d.seq, coalesce(sum(CASE WHEN v > 0 THEN power(2::HUGEINT, k)::HUGEINT ELSE 0 END), 0)::HUGEINT AS sim FROM d LEFT JOIN bits ON bits.seq = d.seq GROUP BY d.seq),
+        reps AS (SELECT sim, min(seq) AS seq FROM sim GROUP BY sim)
+        SELECT a.seq AS seq_a, b.seq AS seq_b, CAST(bit_count(xor(a.sim, b.sim)) AS INTEGER) AS distance FROM reps a JOIN reps b ON a.seq < b.seq WHERE bit_count(xor(a.sim, b.sim)) <= 3
+        UNION ALL SELECT r.seq, s.seq, 0 FROM sim s JOIN reps r ON r.sim = s.sim WHERE s.seq <> r.seq""",
+    "low_pagerank": _pagerank_sql(
+        "SELECT 'links/low-internal-pagerank' AS check_name, url FROM RANKS WHERE rank <= (SELECT rank FROM (SELECT rank, row_number() OVER (ORDER BY rank) AS rn FROM RANKS) WHERE rn = (SELECT CAST(floor(0.1 * count(*)) AS BIGINT) + 1 FROM RANKS))"
+    ),
+    "offline_crawl": f"""WITH RECURSIVE s AS (SELECT arg_min(url, (-coalesce(len(links), 0), seq)) AS seed FROM pages WHERE url IS NOT NULL),
+        p AS (SELECT url, arg_min(coalesce(links, []), seq) AS links FROM pages WHERE url IS NOT NULL GROUP BY url),
+        b AS (SELECT seed AS url, 0 AS depth FROM s UNION SELECT l.dst, l.depth + 1 FROM (SELECT unnest(p.links) AS dst, b.depth FROM b JOIN p ON p.url = b.url WHERE b.depth < 4) l, s
+            WHERE {_AUTH.format('l.dst')} = {_AUTH.format('s.seed')})
+        SELECT b.url, CAST(min(depth) AS INTEGER) AS depth FROM b JOIN p ON p.url = b.url GROUP BY b.url""",
+    "changed_since_cache": """WITH f AS (SELECT seq, url, fetched_at, coalesce(headers['etag'][1], '') AS e, coalesce(body, '') AS b, min(seq) OVER (PARTITION BY url) AS s0 FROM pages WHERE url IS NOT NULL),
+        o AS (SELECT url, e, b FROM f WHERE seq = s0),
+        n AS (SELECT url, arg_max(e, (fetched_at, seq)) AS e, arg_max(b, (fetched_at, seq)) AS b FROM f WHERE seq <> s0 GROUP BY url),
+        c AS (SELECT n.url FROM n JOIN o ON n.url = o.url WHERE CASE WHEN n.e <> '' AND o.e <> '' THEN n.e <> o.e ELSE n.b <> o.b END)
+        SELECT seq, url FROM f WHERE seq <> s0 AND url IN (SELECT url FROM c)""",
     "frontier_level": f"""WITH f AS (SELECT url AS src, seq, depth + 1 AS depth, unnest(links) AS dst, generate_subscripts(links, 1) AS k FROM pages)
         SELECT dst AS url, CAST(arg_min(depth, (seq, k)) AS BIGINT) AS depth FROM f WHERE dst NOT IN (SELECT url FROM pages WHERE url IS NOT NULL)
         AND {_AUTH.format('dst')} = (SELECT {_AUTH.format('arg_min(url, (-coalesce(len(links), 0), seq))')} FROM pages WHERE url IS NOT NULL) GROUP BY dst""",

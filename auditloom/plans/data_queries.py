@@ -112,7 +112,38 @@ changes AS (
   FROM c FULL JOIN p ON c.pair = p.pair AND c.check_name = p.check_name AND c.url = p.url
   WHERE c.pair IS NULL OR p.pair IS NULL OR c.v <> p.v)
 """
+def _items(x: str) -> str:
+    """A JSON value as a list: of its members, of itself if it is no array, empty if null or absent."""
+    return f"CASE coalesce(json_type({x}), 'NULL') WHEN 'ARRAY' THEN CAST({x} AS JSON[]) WHEN 'NULL' THEN CAST([] AS JSON[]) ELSE [{x}] END"
+
+
+def _scalar(x: str) -> str:
+    return f"CASE coalesce(json_type({x}), 'NULL') WHEN 'NULL' THEN '' WHEN 'VARCHAR' THEN {x} ->> '$' ELSE CAST({x} AS VARCHAR) END"
+
+
+_FLAT = f"""
+WITH latest AS (SELECT crawl_id, arg_max(payload, (received_at, payload)) AS payload FROM crawl_results WHERE crawl_id IS NOT NULL GROUP BY 1),
+j AS (SELECT crawl_id, CAST(payload AS JSON) AS j FROM latest WHERE json_valid(payload)),
+r AS (SELECT crawl_id, CASE WHEN json_type(j -> '$.result') = 'OBJECT' THEN j -> '$.result' ELSE j END AS r FROM j WHERE json_type(j) = 'OBJECT'),
+p AS (SELECT crawl_id, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT crawl_id, {_items("r -> '$.pages'")} AS l FROM r)),
+pages_ AS (SELECT * FROM p WHERE json_type(e) = 'OBJECT'),
+i AS (SELECT crawl_id, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT crawl_id, {_items("r -> '$.issues'")} AS l FROM r)),
+s AS (SELECT crawl_id, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT crawl_id, {_items("r -> '$.lighthouse'")} AS l FROM r)),
+ln AS (SELECT crawl_id, pos, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS sub FROM (SELECT crawl_id, pos, {_items("e -> '$.links'")} AS l FROM pages_)),
+rd AS (SELECT crawl_id, pos, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS sub FROM (SELECT crawl_id, pos, {_items("e -> '$.redirect_chain'")} AS l FROM pages_)),
+hk AS (SELECT crawl_id, pos, e -> '$.headers' AS h, unnest(json_keys(e -> '$.headers')) AS k FROM pages_ WHERE json_type(e -> '$.headers') = 'OBJECT'),
+hv AS (SELECT crawl_id, pos, k, CAST(h AS MAP(VARCHAR, JSON))[k] AS v FROM hk),
+hd AS (SELECT crawl_id, pos, k, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS sub FROM (SELECT crawl_id, pos, k, {_items("v")} AS l FROM hv)),
+flat AS (
+  SELECT crawl_id, 'page' AS kind, pos, -1 AS sub, {_scalar("e -> '$.url'")} AS item_key FROM pages_
+  UNION ALL SELECT crawl_id, 'issue', pos, -1, {_scalar("e -> '$.check_name'")} FROM i WHERE json_type(e) = 'OBJECT'
+  UNION ALL SELECT crawl_id, 'lighthouse', pos, -1, {_scalar("e -> '$.url'")} FROM s WHERE json_type(e) = 'OBJECT'
+  UNION ALL SELECT crawl_id, 'link', pos, sub, {_scalar("e")} FROM ln WHERE coalesce(json_type(e), 'NULL') <> 'NULL'
+  UNION ALL SELECT crawl_id, 'redirect', pos, sub, {_scalar("e")} FROM rd WHERE coalesce(json_type(e), 'NULL') <> 'NULL'
+  UNION ALL SELECT crawl_id, 'header', pos, sub, k FROM hd WHERE coalesce(json_type(e), 'NULL') <> 'NULL')
+"""
 SQL = {
+    "p5_found": _FLAT + "SELECT DISTINCT crawl_id, kind, CAST(pos AS INTEGER) AS pos, CAST(sub AS INTEGER) AS sub, item_key FROM flat",
     "p4_found": _TREE + "SELECT l.registry, l.name, coalesce(array_to_string(t.names, '/'), '(cycle)') AS path FROM linked l LEFT JOIN tree t ON l.registry = t.registry AND l.name = t.name",
     "p4_descendants": _TREE + """SELECT registry, names[i] AS ancestor, name AS descendant, CAST(len(names) - i AS BIGINT) AS distance
         FROM (SELECT registry, name, names, unnest(range(1, len(names))) AS i FROM tree)""",

@@ -191,9 +191,11 @@ CACHE = "url string, last_modified string, etag string, content_hash string"
 
 
 def cache_rows(pages: DataFrame) -> DataFrame:
+    """The cache entry of each URL's latest fetch."""
     from auditloom.functions.columns import header
 
-    return pages.select("url", header("last-modified").alias("last_modified"), header("etag").alias("etag"), F.sha2(F.coalesce("body", F.lit("")), 256).alias("content_hash")).dropDuplicates(["url"])
+    entry = F.struct("fetched_at", "seq", header("last-modified").alias("last_modified"), header("etag").alias("etag"), F.sha2(F.coalesce("body", F.lit("")), 256).alias("content_hash"))
+    return pages.where("url IS NOT NULL").groupBy("url").agg(F.max(entry).alias("m")).select("url", "m.last_modified", "m.etag", "m.content_hash")
 
 
 def save_cache(rows: DataFrame, folder: str) -> None:

@@ -75,4 +75,10 @@ QUERIES = {
     "p10_statistics": p10_statistics,
     "p10_outlierness": p10_outlierness,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p9_found": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+        b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+        dg AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 14], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 13)) AS i FROM d)),
+        bg AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 14], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 13)) AS i FROM b))
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN bg ON dg.g = bg.g""",
+}

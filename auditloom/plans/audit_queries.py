@@ -14,6 +14,7 @@ from auditloom.model import ISSUE_COLS
 from auditloom.operators.baseline import baseline_diff
 from auditloom.operators import nested as N
 from auditloom.plans import audit as A
+from auditloom.plans import data_queries as D
 from auditloom.rules.cel import Rule, rule_checks
 from auditloom.session import materialise, map_arrow, shared_folder, table
 from auditloom.site import classify, duplicates, graph, links, redirects, summary
@@ -259,7 +260,8 @@ def _scores(spark, d):
 
 
 def speed_summary(spark, d):
-    return summary.speed_summary(_scores(spark, d))
+    s = summary.speed_summary(_scores(spark, d))
+    return s.select("n", *[F.round(c, 6).alias(c) for c in s.columns[1:]])
 
 
 def slowest_pages(spark, d):
@@ -437,6 +439,9 @@ SQL = {
         reps AS (SELECT sim, min(seq) AS seq FROM sim GROUP BY sim)
         SELECT a.seq AS seq_a, b.seq AS seq_b, CAST(bit_count(xor(a.sim, b.sim)) AS INTEGER) AS distance FROM reps a JOIN reps b ON a.seq < b.seq WHERE bit_count(xor(a.sim, b.sim)) <= 3
         UNION ALL SELECT r.seq, s.seq, 0 FROM sim s JOIN reps r ON r.sim = s.sim WHERE s.seq <> r.seq""",
+    "speed_summary": D._FLAT + f""", t AS ({D._table_sql('lighthouse')}) SELECT count(*) AS n, round(coalesce(avg(coalesce(performance_score, 0)), 0), 6) AS avg_performance, round(coalesce(avg(coalesce(accessibility_score, 0)), 0), 6) AS avg_accessibility,
+        round(coalesce(avg(coalesce(best_practices_score, 0)), 0), 6) AS avg_best_practices, round(coalesce(avg(coalesce(seo_score, 0)), 0), 6) AS avg_seo, round(coalesce(avg(CASE WHEN performance_score >= 90 THEN 100.0::DOUBLE ELSE 0 END), 0), 6) AS pass_rate FROM t""",
+    "slowest_pages": D._FLAT + f", t AS ({D._table_sql('lighthouse')}) SELECT url, performance_score AS score FROM t ORDER BY score NULLS FIRST, url LIMIT 5",
     "low_pagerank": _pagerank_sql(
         "SELECT 'links/low-internal-pagerank' AS check_name, url FROM RANKS WHERE rank <= (SELECT rank FROM (SELECT rank, row_number() OVER (ORDER BY rank) AS rn FROM RANKS) WHERE rn = (SELECT CAST(floor(0.1 * count(*)) AS BIGINT) + 1 FROM RANKS))"
     ),
@@ -454,3 +459,4 @@ SQL = {
         SELECT dst AS url, CAST(arg_min(depth, (seq, k)) AS BIGINT) AS depth FROM f WHERE dst NOT IN (SELECT url FROM pages WHERE url IS NOT NULL)
         AND {_AUTH.format('dst')} = (SELECT {_AUTH.format('arg_min(url, (-coalesce(len(links), 0), seq))')} FROM pages WHERE url IS NOT NULL) GROUP BY dst""",
 }
+SQL["stream_page_issues"] = f"SELECT check_name, count(*) AS n FROM ({SQL['health_issues']}) GROUP BY 1"

@@ -131,9 +131,9 @@ i AS (SELECT crawl_id, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS pos FROM
 s AS (SELECT crawl_id, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT crawl_id, {_items("r -> '$.lighthouse'")} AS l FROM r)),
 ln AS (SELECT crawl_id, pos, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS sub FROM (SELECT crawl_id, pos, {_items("e -> '$.links'")} AS l FROM pages_)),
 rd AS (SELECT crawl_id, pos, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS sub FROM (SELECT crawl_id, pos, {_items("e -> '$.redirect_chain'")} AS l FROM pages_)),
-hk AS (SELECT crawl_id, pos, e -> '$.headers' AS h, unnest(json_keys(e -> '$.headers')) AS k FROM pages_ WHERE json_type(e -> '$.headers') = 'OBJECT'),
-hv AS (SELECT crawl_id, pos, k, CAST(h AS MAP(VARCHAR, JSON))[k] AS v FROM hk),
-hd AS (SELECT crawl_id, pos, k, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS sub FROM (SELECT crawl_id, pos, k, {_items("v")} AS l FROM hv)),
+hk AS (SELECT crawl_id, pos, e -> '$.headers' AS h, unnest(json_keys(e -> '$.headers')) AS k, generate_subscripts(json_keys(e -> '$.headers'), 1) - 1 AS n FROM pages_ WHERE json_type(e -> '$.headers') = 'OBJECT'),
+hv AS (SELECT crawl_id, pos, k, n, CAST(h AS MAP(VARCHAR, JSON))[k] AS v FROM hk),
+hd AS (SELECT crawl_id, pos, k, n, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS sub FROM (SELECT crawl_id, pos, k, n, {_items("v")} AS l FROM hv)),
 flat AS (
   SELECT crawl_id, 'page' AS kind, pos, -1 AS sub, {_scalar("e -> '$.url'")} AS item_key FROM pages_
   UNION ALL SELECT crawl_id, 'issue', pos, -1, {_scalar("e -> '$.check_name'")} FROM i WHERE json_type(e) = 'OBJECT'
@@ -142,7 +142,28 @@ flat AS (
   UNION ALL SELECT crawl_id, 'redirect', pos, sub, {_scalar("e")} FROM rd WHERE coalesce(json_type(e), 'NULL') <> 'NULL'
   UNION ALL SELECT crawl_id, 'header', pos, sub, k FROM hd WHERE coalesce(json_type(e), 'NULL') <> 'NULL')
 """
+def _table_sql(kind: str) -> str:
+    sql_type = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    if kind in ("link", "redirect"):
+        rel = "ln" if kind == "link" else "rd"
+        return f"""SELECT crawl_id, CAST(pos AS INTEGER) AS pos, CAST(sub AS INTEGER) AS sub, 'page/' || pos || '/{kind}/' || sub AS pk, 'page/' || pos AS parent_pk, {_scalar('e')} AS value
+            FROM {rel} WHERE coalesce(json_type(e), 'NULL') <> 'NULL'"""
+    if kind == "header":
+        return f"""SELECT crawl_id, CAST(pos AS INTEGER) AS pos, CAST(sub AS INTEGER) AS sub, 'page/' || pos || '/header/' || n || '/' || sub AS pk, 'page/' || pos AS parent_pk, k AS name, {_scalar('e')} AS value
+            FROM hd WHERE coalesce(json_type(e), 'NULL') <> 'NULL'"""
+    rel = {"page": "pages_", "issue": "i", "lighthouse": "s"}[kind]
+    cols = [c.split() for c in N.TAG_SCHEMAS[kind].split(", ")]
+    fields = ", ".join(f"TRY_CAST(e ->> '$.{n}' AS {sql_type[t]}) AS {n}" for n, t in cols)
+    return f"SELECT crawl_id, CAST(pos AS INTEGER) AS pos, -1 AS sub, '{kind}/' || pos AS pk, '' AS parent_pk, {fields} FROM {rel} WHERE json_type(e) = 'OBJECT'"
+
+
 SQL = {
+    **{f"p5_{k}_table": _FLAT + _table_sql(k) for k in N.TAG_SCHEMAS},
+    "p4_hierarchy": _TREE + """, sizes AS (SELECT registry, a AS name, count(*) AS size FROM (SELECT registry, unnest(names) AS a FROM tree) GROUP BY ALL),
+        lost AS (SELECT l.* FROM linked l WHERE NOT EXISTS (SELECT 1 FROM tree t WHERE t.registry = l.registry AND t.name = l.name)),
+        walk AS (SELECT registry, name AS start, parent AS cur FROM lost UNION SELECT w.registry, w.start, l.parent FROM walk w JOIN lost l ON l.registry = w.registry AND l.name = w.cur)
+        SELECT registry, name, 'tree' AS status, names[1] AS root, CAST(len(names) AS BIGINT) AS depth, CAST(size AS BIGINT) AS size FROM tree JOIN sizes USING (registry, name)
+        UNION ALL SELECT registry, name, CASE WHEN EXISTS (SELECT 1 FROM walk w WHERE w.registry = lost.registry AND w.start = lost.name AND w.cur = lost.name) THEN 'cycle' ELSE 'below_cycle' END, NULL, NULL, NULL FROM lost""",
     "p5_found": _FLAT + "SELECT DISTINCT crawl_id, kind, CAST(pos AS INTEGER) AS pos, CAST(sub AS INTEGER) AS sub, item_key FROM flat",
     "p4_found": _TREE + "SELECT l.registry, l.name, coalesce(array_to_string(t.names, '/'), '(cycle)') AS path FROM linked l LEFT JOIN tree t ON l.registry = t.registry AND l.name = t.name",
     "p4_descendants": _TREE + """SELECT registry, names[i] AS ancestor, name AS descendant, CAST(len(names) - i AS BIGINT) AS distance

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from auditloom.functions.columns import authority
@@ -13,8 +13,6 @@ from auditloom.session import materialise, release
 from auditloom.site.links import as_issues, link_rows
 
 DAMPING, ITERATIONS, HIGH_OUT = 0.85, 20, 100
-#: Iterations between two cuts of the lineage.
-CUT_EVERY = 4
 
 
 def graph(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -29,28 +27,29 @@ def graph(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
-    """``(url, rank)``; rank of pages without outgoing links is spread evenly, as one scalar a round."""
+    """``(url, rank)``; rank of pages without outgoing links is spread evenly.
+
+    A round is one job with one pass over the edges. What pages receive is written and its sum counted
+    while writing; the rest of the total rank of one lay on pages without links, so their share is a
+    number in the next round's expression, not a second branch of its plan.
+    """
     nodes = materialise(nodes)
     n = nodes.count()
     if n == 0:
         return nodes.withColumn("rank", F.lit(0.0))
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
     weighted = materialise(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("w")))
-    dangling = materialise(nodes.join(out.select(F.col("src").alias("url")), "url", "left_anti"))
-    ranks = materialise(nodes.withColumn("rank", F.lit(1.0 / n)))
-    kept = ranks
-    for k in range(iterations):
-        lost = ranks.join(dangling, "url", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        got = weighted.join(ranks.withColumnRenamed("url", "src"), "src").groupBy(F.col("dst").alias("url")).agg(F.sum(F.col("w") * F.col("rank")).alias("got"))
-        ranks = (
-            nodes.join(got, "url", "left").join(F.broadcast(lost))  # lost is one row
-            .select("url", (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        )
-        if (k + 1) % CUT_EVERY == 0 or k + 1 == iterations:
-            ranks = materialise(ranks)
-            release(kept)
-            kept = ranks
-    return ranks
+    state, even = nodes.withColumn("got", F.lit(0.0)), 1.0 / n
+    for _ in range(iterations):
+        ranks = state.select(F.col("url").alias("src"), (F.lit(even) + F.lit(damping) * F.col("got")).alias("rank"))
+        got = weighted.join(ranks, "src").groupBy(F.col("dst").alias("url")).agg(F.sum(F.col("w") * F.col("rank")).alias("got"))
+        total = Observation()
+        step = nodes.join(got, "url", "left").select("url", F.coalesce("got", F.lit(0.0)).alias("got"))
+        now = materialise(step.observe(total, F.sum("got").alias("got")))
+        even = (1 - damping) / n + damping * (1.0 - total.get["got"]) / n
+        release(state)
+        state = now
+    return state.select("url", (F.lit(even) + F.lit(damping) * F.col("got")).alias("rank"))
 
 
 def low_rank_issues(ranks: DataFrame) -> DataFrame:

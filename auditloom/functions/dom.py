@@ -24,6 +24,10 @@ SCOPES = {
 }
 
 
+#: Depth of open elements.
+MOST_DEPTH = 512
+
+
 class Node:
     """An element, or a text if ``tag`` is empty."""
 
@@ -69,6 +73,7 @@ class _Builder(HTMLParser):
         self.body: Node | None = None
         self.open: list[Node] = []
         self.pending: list[tuple[str, dict]] = []
+        self.over = 0
 
     def _add(self, tag: str, attrs: dict) -> Node:
         parent = self.open[-1] if self.open else self.doc
@@ -128,7 +133,10 @@ class _Builder(HTMLParser):
             self._reopen()
         n = self._add(tag, a)
         if tag not in VOID:
-            self.open.append(n)
+            if len(self.open) < MOST_DEPTH:
+                self.open.append(n)
+            else:
+                self.over += 1  # deeper elements become siblings, as in browsers
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -169,6 +177,9 @@ class _Builder(HTMLParser):
                 while self.open and self.open[-1] is not self.html:
                     self.open.pop()
             return
+        if self.over and tag not in VOID:
+            self.over -= 1
+            return
         if tag == "p" and not any(n.tag == "p" for n in self.open):
             self.handle_starttag("p", [])
             self.open.pop()

@@ -166,6 +166,7 @@ def test_dom_tree():
     tags = [n.tag for n in d.walk()]
     assert tags[:4] == ["#document", "html", "head", "title"] and tags.count("p") == 2 and tags.count("b") == 2 and tags.count("li") == 2
     assert dom.parse("").kids[0].tag == "html"
+    assert sum(n.tag == "div" for n in dom.parse("<div>" * 30_000 + "x" + "</div>" * 30_000 + "<p>y").walk()) == 30_000
     links, assets = dom.links_and_assets("<a href='/x#f'>1</a><a href=mailto:a@b>2</a><img src=i.png><link href=c.css><script src=//h/s.js></script><!-- <a href=/no> --><script>'<a href=/no2>'</script>", "https://e.org/d/")
     assert links == ["https://e.org/x"] and assets == ["https://e.org/d/i.png", "https://e.org/d/c.css", "https://h/s.js"]
 

@@ -87,6 +87,8 @@ _DOCUMENT = re.compile(r"^<(?:!doctype\s+html|html|body)\b[^<>]*>", re.I | re.M)
 _CLOSES = re.compile(r"</(?:html|head|body|div|article|main|section|p|table|ul|h[1-6]|a|span)\s*>", re.I)
 _HIDDEN = frozenset(["script", "style", "noscript", "head", "title", "template", "svg", "textarea", "select", "iframe", "object"])
 _BLOCKS = frozenset(["div", "nav", "aside", "footer", "header", "main", "article", "section", "td", "th", "tr", "ul", "ol", "dl", "table", "tbody", "form", "blockquote", "figure", "body", "html"])
+#: Depth to which containers are followed.
+MOST_DEPTH = 512
 _LISTS = frozenset(["ul", "ol", "dl"])
 _WALLS = frozenset(["footer", "nav", "aside"])
 _HOLDERS = frozenset(TAG) - {""}
@@ -341,12 +343,18 @@ def _parse_line(line: str) -> tuple:
         text = _tidy(html.unescape(raw) if "&" in raw else raw)
         share = min(1.0, links / max(1, len(text)))
         got = (tuple(events), text, share, _cues(text) if text else 0.0, first_holder or "")
-    if len(_PARSED) > 60_000:
-        _PARSED.clear()
-    _PARSED[line] = got
+    _keep(line, got)
     return got
 
 
+def _keep(line: str, got: tuple) -> None:
+    """Remember what a line gave; boilerplate repeats, long lines don't."""
+    if len(line) <= 600:
+        if len(_PARSED) > 60_000:
+            _PARSED.clear()
+        _PARSED[line] = got
+
+
 def is_html(body: str) -> bool:
     """Markup, not text that shows some: a block tag starts the body or ``<html>``/``<body>`` starts a line."""
     if _STARTS.match(body):
@@ -359,7 +367,7 @@ def _html_nodes(lines: list[str]) -> tuple[list[Node], int]:
     nodes: list[Node] = []
     stack: list[tuple[str, int]] = [("root", 0)]
     n_blocks, hidden, related, p_id, pre = 1, "", -1, 0, 0
-    container, in_list, walled = "", False, False
+    container, in_list, walled, over = "", False, False, 0
     for no, line in enumerate(lines, 1):
         if hidden:
             end = "-->" if hidden == "comment" else f"</{hidden}"
@@ -378,6 +386,8 @@ def _html_nodes(lines: list[str]) -> tuple[list[Node], int]:
                 elif tag == "pre":
                     pre = no
                     was_pre = no
+                elif tag != "li" and len(stack) >= MOST_DEPTH:
+                    over += 1  # deeper elements belong to the deepest one kept
                 elif tag != "li":
                     stack.append((tag, n_blocks))
                     n_blocks += 1
@@ -388,6 +398,8 @@ def _html_nodes(lines: list[str]) -> tuple[list[Node], int]:
                     p_id = 0
                 elif tag == "pre":
                     pre = 0
+                elif tag != "li" and over:
+                    over -= 1
                 elif tag != "li" and any(t == tag for t, _ in stack):
                     while stack.pop()[0] != tag:
                         pass
@@ -485,7 +497,7 @@ def _plain_line(line: str) -> tuple:
     if got is None:
         text = _tidy(line)
         got = ((), text, 0.0, _cues(text) if text else 0.0, "")
-        _PARSED["\0" + line] = got
+        _keep("\0" + line, got)
     return got
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from auditloom.operators import nested as N
 from auditloom.plans import audit as A
 from auditloom.plans import data_queries as D
 from auditloom.rules.cel import Rule, rule_checks
-from auditloom.session import materialise, map_arrow, shared_folder, table
+from auditloom.session import map_arrow, scratch, table
 from auditloom.site import classify, duplicates, graph, links, redirects, summary
 from auditloom.sources import crawl, robots
 
@@ -286,7 +284,7 @@ def stream_page_issues(spark, d):
     """Header checks over the pages as a file stream, written batch by batch and read back."""
     from auditloom.streaming.stream import page_stream
 
-    at = f"{shared_folder(spark)}/stream/{uuid.uuid4().hex}"
+    at = scratch(spark)
     found = _explode(page_stream(spark, d, name="pages.parquet"), health.checks())
     q = found.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()

@@ -89,6 +89,13 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return (df if df.isStreaming else spread(df)).mapInArrow(fn, schema)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed at exit."""
+    path = f"{shared_folder(spark)}/steps/{uuid.uuid4().hex}"
+    _WORK.setdefault("steps", []).append(path)
+    return path
+
+
 def materialise(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back.
 
@@ -96,10 +103,9 @@ def materialise(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     keeps column pruning and takes a fraction of the disk.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/steps/{uuid.uuid4().hex}"
+    path = scratch(spark)
     w = df.write.mode("error").option("compression", "zstd")
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
-    _WORK.setdefault("steps", []).append(path)
     schema = df.schema
     out = spark.read.schema(schema).parquet(path)
     out._step_path = path

@@ -2,13 +2,17 @@
 
 Texts are cut into short word windows, weighted by TF-IDF with document frequencies of the whole
 corpus, and projected by a randomised SVD that is computed over all windows in distributed passes.
-Windows of items near in cosine are candidates; an exact check of the longest common run, or for
-paraphrases of the longest common subsequence and the item's answer tokens, decides.
+Windows of items near in cosine are candidates; an exact check of the longest common run decides.
 
 A shared run of ``RUN`` words holds a whole window of ``WINDOW`` words of the document, as windows
 start every ``WINDOW`` words of a stretch; items have windows at every word. Equal windows have cosine
 1, so no leak is missed by the search. Words that no item uses part a document into stretches, and
 stretches shorter than a window's guarantee are dropped: they can't hold a run.
+
+Neither holds for paraphrases: words that no item uses stand anywhere in them, and no cosine bounds
+their windows. There the item words that a document holds are counted instead. The count is never
+below the longest common subsequence, so every pair that the exact check of the subsequence and the
+item's answer tokens would take is checked.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ RUN, WINDOW = 15, 8
 RANK, OVER, POWER = 24, 8, 1
 #: Width of the term space; a larger vocabulary is hashed into it.
 FEATURES = 4096
-#: Least cosine of candidates for verbatim passages and for paraphrases.
-COSINE, COSINE_PARAPHRASE = 0.985, 0.85
+#: Least cosine of candidates for verbatim passages.
+COSINE = 0.985
 #: Words of items handled at once; more items are handled in several rounds.
 ITEM_WORDS = 400_000
 #: Groups into which partitions' sketches are summed before they meet on the driver.
@@ -41,14 +45,14 @@ _WORD = re.compile(r"[^\W_]+")
 class Items:
     """Words of the items as term numbers, with a window at every word."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], least: int = RUN):
         import numpy as np
 
         self.ids, self.words = [], []
         vocab: dict[str, int] = {}
         for i, t in rows:
             ws = _WORD.findall((t or "").lower())
-            if len(ws) >= RUN:
+            if len(ws) >= least:
                 self.ids.append(i)
                 self.words.append(np.array([vocab.setdefault(w, len(vocab)) for w in ws], dtype=np.int32))
         self.vocab = vocab
@@ -264,43 +268,95 @@ def subsequence(x: list[int], y: list[int]) -> int:
     return len(y) - v.bit_count()
 
 
-def _paraphrased(items: Items, weight, basis):
+class Bags:
+    """The items by their words, a word's k-th occurrence being a term of its own."""
+
+    def __init__(self, items: Items):
+        import numpy as np
+
+        self.items, self.vocab = len(items.words), len(items.vocab)
+        self.need = np.array([SUBSEQUENCE * len(w) - 1e-9 for w in items.words])
+        terms, ranks, of = [], [], []
+        for k, w in enumerate(items.words):
+            t, r = _occurrences(np.sort(w.astype(np.int64)))
+            terms.append(t)
+            ranks.append(r)
+            of.append(np.full(len(t), k))
+        t, r, of = np.concatenate(terms), np.concatenate(ranks), np.concatenate(of)
+        self.cap = np.zeros(self.vocab, np.int64)
+        np.maximum.at(self.cap, t, r + 1)
+        self.offset = np.cumsum(self.cap) - self.cap
+        f = self.offset[t] + r
+        order = np.argsort(f, kind="stable")
+        self.posted = of[order]
+        self.first = np.searchsorted(f[order], np.arange(self.cap.sum() + 1))
+
+    def near(self, docs: list):
+        """``(document, item)`` of the documents that hold enough of an item's words in any order."""
+        import numpy as np
+
+        step = max(1, min(1024, 2_000_000 // self.items))
+        for lo in range(0, len(docs), step):
+            some = docs[lo : lo + step]
+            t = np.concatenate(some).astype(np.int64)
+            doc = np.repeat(np.arange(len(some)), [len(x) for x in some])[t >= 0]
+            key, r = _occurrences(np.sort(doc * self.vocab + t[t >= 0]))
+            doc, t = key // self.vocab, key % self.vocab
+            own = r < self.cap[t]
+            f = self.offset[t[own]] + r[own]
+            n = self.first[f + 1] - self.first[f]
+            item = self.posted[np.repeat(self.first[f], n) + _counted(n)]
+            held = np.bincount(np.repeat(doc[own], n) * self.items + item, minlength=len(some) * self.items)
+            u, k = np.nonzero(held.reshape(len(some), -1) >= self.need)
+            yield from zip((u + lo).tolist(), k.tolist())
+
+
+def _counted(n):
+    """0 .. n - 1 for each of the numbers, one after the other."""
+    import numpy as np
+
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _occurrences(key):
+    """Sorted keys, each with how many equal ones stand before it."""
+    import numpy as np
+
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return key, _counted(np.diff(np.append(first, len(key))))
+
+
+def _paraphrased(items: Items):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        own, own_of, _ = _windows(items.words, WINDOW)
-        own_vec = np.ascontiguousarray(_project(own, weight, basis).T)
-        n_own = np.bincount(own_of, minlength=len(items.words))
+        bags = Bags(items)
+        get = items.vocab.get
         for b in batches:
-            ids, terms = b.column("doc_id").to_pylist(), [np.asarray(t, np.int32) for t in b.column("terms").to_pylist()]
+            ids, terms = [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if t and i is not None:
+                    x = [get(w, -1) for w in _WORD.findall(t.lower())]
+                    if x:
+                        ids.append(i)
+                        terms.append(np.array(x, dtype=np.int32))
             docs, found, share = [], [], []
-            win, of, _ = _windows(terms, WINDOW // 4)
-            if len(win):
-                vec = _project(win, weight, basis)
-                pairs = [np.zeros(0, np.int64)]
-                for a in range(0, len(win), 512):
-                    u, o = np.nonzero(vec[a : a + 512] @ own_vec >= COSINE_PARAPHRASE)
-                    pairs.append(np.unique(of[u + a].astype(np.int64) * len(own) + o))
-                pairs = np.unique(np.concatenate(pairs))  # a stretch and a window of an item, each once
-                both, hits = np.unique(pairs // len(own) * len(items.words) + own_of[pairs % len(own)], return_counts=True)
-                for k, item, hit in zip((both // len(items.words)).tolist(), (both % len(items.words)).tolist(), hits.tolist()):
-                    if 2 * hit < n_own[item]:
-                        continue
-                    x, y = terms[k].tolist(), items.words[item].tolist()
-                    if items.answers[item] and not items.answers[item] <= set(x):
-                        continue
-                    s = subsequence(x, y) / len(y)
-                    if s >= SUBSEQUENCE:
-                        docs.append(ids[k])
-                        found.append(items.ids[item])
-                        share.append(s)
+            for k, item in bags.near(terms):
+                x, y = terms[k].tolist(), items.words[item].tolist()
+                if not items.answers[item] <= set(x):
+                    continue
+                s = subsequence(x, y) / len(y)
+                if s >= SUBSEQUENCE:
+                    docs.append(ids[k])
+                    found.append(items.ids[item])
+                    share.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64()), pa.array(share, pa.float64())], names=["doc_id", "item_id", "share"])
 
     return run
 
 
-def _retrieve(documents: DataFrame, items: Items, check, schema: str) -> DataFrame:
+def _leaked(documents: DataFrame, items: Items) -> DataFrame:
     import numpy as np
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -312,10 +368,10 @@ def _retrieve(documents: DataFrame, items: Items, check, schema: str) -> DataFra
     weight = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
     stretches = rows.where("doc_id IS NOT NULL").select("doc_id", "terms")
     basis = _basis(stretches, items, weight)
-    return map_arrow(stretches, check(items, weight, basis), schema)
+    return map_arrow(stretches, _verbatim(items, weight, basis), "doc_id long, item_id long")
 
 
-def _by_rounds(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, check, schema: str) -> DataFrame:
+def _by_rounds(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, find, schema: str, least: int) -> DataFrame:
     """Items are taken in rounds of a bounded number of words, so what is sent to the workers is bounded."""
     known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     total = known.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -323,9 +379,9 @@ def _by_rounds(spark: SparkSession, documents: DataFrame, benchmark: DataFrame,
     out = spark.createDataFrame([], schema)
     for k in range(rounds):
         part = known.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == k) if rounds > 1 else known
-        items = Items([(r["item_id"], r["text"]) for r in part.collect()])
+        items = Items([(r["item_id"], r["text"]) for r in part.collect()], least)
         if items.ids:
-            out = out.unionByName(_retrieve(documents, items, check, schema))
+            out = out.unionByName(find(documents, items))
     return out
 
 
@@ -335,12 +391,18 @@ def leaked_items(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null and short texts of either side have no leak; repeated rows are reported once. Empty tables give
     an empty result.
     """
-    return _by_rounds(documents.sparkSession, documents, benchmark, _verbatim, "doc_id long, item_id long").distinct()
+    return _by_rounds(documents.sparkSession, documents, benchmark, _leaked, "doc_id long, item_id long", RUN).distinct()
 
 
 def paraphrased_items(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, share)`` of documents with most of an item's words in order, and all its numbers.
 
-    Looked for within a stretch of item words; a paraphrase that breaks off with other words counts by its parts.
+    Any other words may stand between and in place of them. Items of any number of words count; ``share`` is
+    that of the item's words.
     """
-    return _by_rounds(documents.sparkSession, documents, benchmark, _paraphrased, "doc_id long, item_id long, share double").groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+    schema = "doc_id long, item_id long, share double"
+
+    def find(docs: DataFrame, items: Items) -> DataFrame:
+        return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _paraphrased(items), schema)
+
+    return _by_rounds(documents.sparkSession, documents, benchmark, find, schema, 1).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))

@@ -30,7 +30,7 @@ class Result:
     pages: int = 0
     crawled_at: str = ""
     duration_ns: int = 0
-    lighthouse: list[dict] = field(default_factory=list)
+    lighthouse: list[dict] | DataFrame = field(default_factory=list)
     page_rows: list[dict] = field(default_factory=list)
 
     def rows(self) -> Iterator[dict]:
@@ -38,6 +38,14 @@ class Result:
         for r in ordered(self.issues.select(*ISSUE_COLS)).toLocalIterator():
             yield {c: r[c] or "" for c in ISSUE_COLS}
 
+    def scores(self) -> Iterator[dict]:
+        """All score rows by URL, a partition at a time; given lists keep their order."""
+        if isinstance(self.lighthouse, list):
+            yield from self.lighthouse
+            return
+        for r in self.lighthouse.orderBy("url").toLocalIterator():
+            yield r.asDict(recursive=True)
+
     def counts(self) -> dict[str, int]:
         return {r["severity"]: r["n"] for r in S.by_severity(self.issues).collect()}
 
@@ -77,7 +85,7 @@ def summary(result: Result) -> dict:
 def to_json(result: Result) -> Iterator[str]:
     yield _dumps(
         {
-            "seed_url": result.seed_url, "pages": result.page_rows, "issues": [_issue_json(r) for r in result.rows()], "lighthouse": result.lighthouse, "crawled_at": result.crawled_at,
+            "seed_url": result.seed_url, "pages": result.page_rows, "issues": [_issue_json(r) for r in result.rows()], "lighthouse": list(result.scores()), "crawled_at": result.crawled_at,
             "duration": result.duration_ns, "summary": summary(result),
         },
         indent=2,
@@ -120,10 +128,10 @@ def to_markdown(result: Result) -> Iterator[str]:
                 last = r["severity"]
                 yield f"\n## {last.capitalize()} Issues\n\n"
             yield f"- [{safe_markdown(r['check_name'])}] {safe_markdown(r['url'])}: {safe_markdown(r['message'])}\n"
-    if result.lighthouse:
-        yield "\n## Lighthouse Scores\n\n| URL | Performance | Accessibility | Best Practices | SEO |\n| --- | ----------- | ------------- | -------------- | --- |\n"
-        for x in result.lighthouse:
-            yield f"| {safe_markdown(x['url'])} | " + " | ".join(f"{x.get(c) or 0:.0f}" for c in S.SCORES) + " |\n"
+    for k, x in enumerate(result.scores()):
+        if k == 0:
+            yield "\n## Lighthouse Scores\n\n| URL | Performance | Accessibility | Best Practices | SEO |\n| --- | ----------- | ------------- | -------------- | --- |\n"
+        yield f"| {safe_markdown(x['url'] or '')} | " + " | ".join(f"{x.get(c) or 0:.0f}" for c in S.SCORES) + " |\n"
 
 
 def score_percent(s: float) -> int:
@@ -145,9 +153,13 @@ def to_html(result: Result) -> Iterator[str]:
     for r in result.rows():
         yield f"<tr class=\"{e(r['severity'])}\"><td>{e(r['severity'])}</td><td>{e(r['check_name'])}</td><td>{e(r['url'])}</td><td>{e(r['message'])}</td><td>{e(r['detail'])}</td></tr>\n"
     yield "</tbody></table>\n"
-    if result.lighthouse:
-        yield "<table><tr><th>URL</th>" + "".join(f"<th>{c.removesuffix('_score').replace('_', ' ')}</th>" for c in S.SCORES) + "</tr>"
-        yield "".join(f"<tr><td>{e(x['url'])}</td>" + "".join(f"<td>{score_percent(x.get(c) or 0)}</td>" for c in S.SCORES) + "</tr>" for x in result.lighthouse) + "</table>\n"
+    k = -1
+    for k, x in enumerate(result.scores()):
+        if k == 0:
+            yield "<table><tr><th>URL</th>" + "".join(f"<th>{c.removesuffix('_score').replace('_', ' ')}</th>" for c in S.SCORES) + "</tr>"
+        yield f"<tr><td>{e(x['url'] or '')}</td>" + "".join(f"<td>{score_percent(x.get(c) or 0)}</td>" for c in S.SCORES) + "</tr>"
+    if k >= 0:
+        yield "</table>\n"
     yield (
         "<script>document.getElementById('q').addEventListener('input',function(){var q=this.value.toLowerCase();document.querySelectorAll('#t tbody tr').forEach(function(r){"
         "r.style.display=r.textContent.toLowerCase().indexOf(q)<0?'none':''})})</script>\n</body></html>\n"

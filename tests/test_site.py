@@ -347,3 +347,18 @@ def test_stream_and_cli(spark, tmp_path):
     assert run_audit(spark, p, cfg, U) == 1 and json.load(open(tmp_path / "a.json"))["summary"]["total_issues"] > 0
     again = load_config(env={}, output="json", output_file=str(tmp_path / "b.json"), fail_on="any", compare_baseline=str(tmp_path / "base"))
     assert run_audit(spark, p, again, U) == 0
+
+
+@pytest.mark.parametrize("form", ["json", "markdown", "html"])
+def test_lighthouse_command_reports_every_row(spark, tmp_path, monkeypatch, form):
+    from auditloom import cli
+    from auditloom.model import LIGHTHOUSE
+
+    rows = [(f"https://e.org/p{i:04d}/", 95.0, 95.0, 95.0, 95.0, None, "psi") for i in range(1203)]
+    spark.createDataFrame(rows, LIGHTHOUSE).write.parquet(str(tmp_path / "scores"))
+    monkeypatch.setattr(cli, "local_session", lambda: spark)
+    out = tmp_path / "report"
+    assert cli.main(["lighthouse", str(tmp_path / "scores"), "--output", form, "--output-file", str(out)]) == 0
+    text = out.read_text()
+    places = [text.find(r[0]) for r in rows]
+    assert min(places) >= 0 and places == sorted(places) and (form != "json" or len(json.loads(text)["lighthouse"]) == 1203)

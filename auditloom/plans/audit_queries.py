@@ -234,7 +234,7 @@ def offline_crawl(spark, d):
     p = _pages(spark, d).where("url IS NOT NULL")
     p = p.join(p.groupBy("url").agg(F.min("seq").alias("seq")), ["url", "seq"], "left_semi")
     seed = _seed(p)
-    return crawl.crawl(spark, seed, crawl.table_fetcher(p), max_pages=100_000, max_depth=4).select("url", "depth")
+    return crawl.crawl(spark, seed, crawl.table_fetcher(p), max_pages=None, max_depth=None).select("url", "depth")
 
 
 def body_links(spark, d):

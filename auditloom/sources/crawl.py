@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urljoin, urlsplit
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -110,20 +110,38 @@ def path_allowed(url, include: list[str], exclude: list[str]):
     return ok
 
 
-def add_to_frontier(seen: DataFrame, found: DataFrame, seed: str, max_pages: int, max_depth: int, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
+def add_to_frontier(seen: DataFrame, found: DataFrame, seed: str, max_pages: int | None, max_depth: int | None, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
     """New tasks ``(url, depth, seq)`` out of ``found(url, depth, seq)``.
 
     Unseen URLs of the seed's host whose path is allowed, each once at its first place, in order, as
-    many as the cap on seen URLs leaves.
+    many as the cap on seen URLs leaves. None stands for no cap and no bound of depth.
     """
-    room = max(0, max_pages - seen.count())
     host = urlsplit(seed).netloc.lower()
-    c = found.where((F.lower(authority(F.col("url"))) == host) & (F.col("depth") <= max_depth) & path_allowed(F.col("url"), list(include), list(exclude)))
+    c = found.where((F.lower(authority(F.col("url"))) == host) & (F.lit(True) if max_depth is None else F.col("depth") <= max_depth) & path_allowed(F.col("url"), list(include), list(exclude)))
     new = c.groupBy("url").agg(F.min(F.struct("seq", "depth")).alias("m")).select("url", "m.depth", "m.seq").join(seen.select("url"), "url", "left_anti")
-    return new.orderBy("seq", "url").limit(room)
+    return new if max_pages is None else new.orderBy("seq", "url").limit(max(0, max_pages - seen.count()))
 
 
-def crawl(spark: SparkSession, seed: str, fetch_level: Callable[[DataFrame], DataFrame], *, sitemap: list[str] = (), max_pages: int = 500, max_depth: int = 5, include: list[str] = (), exclude: list[str] = (), checkpoint: str | None = None, resume: str | None = None) -> DataFrame:
+def _linked(got: DataFrame) -> DataFrame:
+    """Links ``(url, depth, seq)`` of a level's pages, numbered anew in the order of the pages and their places in them.
+
+    Numbers count links and so don't grow with the level: pages are sorted by ``seq`` over all partitions,
+    and a page's first number is the sum of what stands before it.
+    """
+    spark = got.sparkSession
+    sizes = materialise(got.where(F.size("links") > 0).groupBy("seq").agg(F.max(F.size("links")).cast("long").alias("n")).orderBy("seq").withColumn("part", F.spark_partition_id()))
+    lots = sizes.groupBy("part").agg(F.sum("n").alias("n"), F.min("seq").alias("least")).orderBy("least").collect()  # one row a partition
+    before, total = [], 0
+    for r in lots:
+        before.append((r["part"], total))
+        total += r["n"]
+    base = spark.createDataFrame(before, "part int, base long")
+    own = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.join(F.broadcast(base), "part").select("seq", (F.col("base") + F.coalesce(F.sum("n").over(own), F.lit(0))).alias("first"))
+    return got.join(first, "seq").select((F.col("depth") + 1).alias("depth"), "first", F.posexplode("links").alias("k", "url")).select("url", "depth", (F.col("first") + F.col("k")).alias("seq"))
+
+
+def crawl(spark: SparkSession, seed: str, fetch_level: Callable[[DataFrame], DataFrame], *, sitemap: list[str] = (), max_pages: int | None = 500, max_depth: int | None = 5, include: list[str] = (), exclude: list[str] = (), checkpoint: str | None = None, resume: str | None = None) -> DataFrame:
     """Breadth-first crawl, a level a round. ``fetch_level`` turns ``(url, depth, seq)`` into pages.
 
     Sitemap URLs go first with depth 1, then the seed with depth 0; the first entry of a URL counts.
@@ -147,7 +165,7 @@ def crawl(spark: SparkSession, seed: str, fetch_level: Callable[[DataFrame], Dat
         levels.append(got)
         if checkpoint:
             save_frontier(seen, tasks, checkpoint, seed)
-        found = got.select((F.col("depth") + 1).alias("depth"), F.col("seq").alias("p"), F.posexplode("links").alias("k", "url")).select("url", "depth", (F.col("p") * 100_000 + F.col("k")).alias("seq"))
+        found = _linked(got)
     out = levels[0] if levels else spark.createDataFrame([], PAGES)
     for x in levels[1:]:
         out = out.unionByName(x)

@@ -349,6 +349,16 @@ def test_stream_and_cli(spark, tmp_path):
     assert run_audit(spark, p, again, U) == 0
 
 
+def test_crawl_of_any_depth(spark):
+    chain = [U] + [f"{U}/{i}" for i in range(8)]
+    p = pages(spark, *[{"url": u, "links": [U + "/gone", v]} for u, v in zip(chain, chain[1:] + [U])])
+    got = crawl.crawl(spark, U, crawl.table_fetcher(p), max_pages=None, max_depth=None)
+    assert {(r.url, r.depth) for r in got.collect()} == {(u, i) for i, u in enumerate(chain)}
+    assert crawl.crawl(spark, U, crawl.table_fetcher(p)).count() == 6  # depth 5
+    level = spark.createDataFrame([(3, 7, ["c", "d"]), (3, 2**62, ["e"]), (3, 0, ["a", "b"]), (3, 9, None)], "depth int, seq long, links array<string>")
+    assert [(r.url, r.depth, r.seq) for r in crawl._linked(level).orderBy("seq").collect()] == [(u, 4, i) for i, u in enumerate("abcde")]
+
+
 @pytest.mark.parametrize("form", ["json", "markdown", "html"])
 def test_lighthouse_command_reports_every_row(spark, tmp_path, monkeypatch, form):
     from auditloom import cli

@@ -1,200 +1,202 @@
 """Main body of a page by minimum cut.
 
-Each line with visible text is a node. A linear classifier over its tag, container, shape and cue
-words gives the capacities of its terminal edges; adjacency and a shared DOM container give smoothness
-edges. The minimum cut separates main content (source side) from boilerplate (sink side). Everything
-happens within one page, so the operator is one Arrow pass without a shuffle.
-
-The weights below were set by hand, for no labelled pages exist; they don't depend on a site.
+Every block of the DOM with visible text is a node, whether blocks stand on lines of their own or not.
+A linear classifier over its element, shape and words gives the capacities of its terminal edges.
+Smoothness edges tie neighbours, blocks of one container, the blocks below a heading to that heading,
+and the blocks within a wall (``nav``, ``aside``, ``footer``, ``form``) to the wall. The minimum cut
+separates main content (source side) from boilerplate (sink side): a reader's comment reads like the
+article, and only its edges to the heading above it tell it apart.
+
+The classifier knows no phrases. It is fitted to the pages at hand by ``fit``, on a bounded sample:
+texts that stand on many pages of a site are its template, texts that stand on one are content, the
+rest has no label; the labels of the cut are then learned once more. Without a sample, the prior
+weights hold, which know elements and shapes only.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from auditloom.session import map_arrow
 
-# --- cue words, by language: en, de, fr, es -----------------------------------------------------
-
-CONSENT = re.compile(
-    r"cookies?\b.{0,80}\b(site running|funktionier\w*|fonctionner|funcione|consent|improve our|count visits|remember your|keep you|offers fit|statistics and|functions need)\b"
-    r"|\b(use|store|read|set|place|process|utilisons|verwenden|usamos) (?:\w+ ){0,2}cookies\b|\bcookies (are|help)\b"
-    r"|tracking pixels?|\bour use of trackers|session tokens?\b|local storage entr|small identifiers?\b|\bsimilar techniques?\b|\bdevice data\b"
-    r"|with your consent|unless you object|privacy notice|your privacy\b|remember what you looked|small files on your device"
-    r"|combine this data|purposes you allow|change your mind at any time|kleine dateien auf ihrem|ihre wahl jederzeit|datenschutzerkl"
-    r"|petits fichiers sur votre|changer d.avis à tout|page sur les données|pequeños archivos en su|cambiar de opinión|aviso de privacidad"
-    r"|einwilligung|consentement|consentimiento",
-    re.I,
-)
-FOOTER = re.compile(
-    r"all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|^\s*(©|\(c\)|copyright\b)|– since \d{4}$"
-    r"|prices include tax|reprints need|written permission from the publisher|accepts no liability|keine haftung|décline toute responsabilité|no responde del contenido"
-    r"|texts and pictures belong to|please ask before copying|opinions in guest pieces|is run by a small association|registered in \S+ under number"
-    r"|^we ship to \d+ countr|accept returns within|phone orders are taken|made with care in|back to top|nach oben$|haut de page|volver arriba"
-    r"|terms of use|accessibility statement|^(imprint|impressum|privacy|datenschutz|mentions légales|données personnelles|aviso legal|privacidad)$",
-    re.I,
-)
-LETTER = re.compile(
-    r"\bour (letter|digest|newsletter|picks) (every|each|once|twice|now|by|on)\b|\bget our (letter|digest|newsletter)|newsletter|leave your address|join the readers|never miss a story|hear from us first|\bhear from\b.{0,60}\b(once|every|each|now and then|on sundays|twice)"
-    r"|\bby mail, |stay close: we write|unser rundbrief|jetzt eintragen|notre lettre|recevez .{0,30}lettre|nuestra carta|s.inscrire$|suscribirse$|^subscribe$|\bread our digest\b|our picks",
-    re.I,
-)
-SCRIPTS = re.compile(
-    r"(enable|activate|allow|turn on|switch on) (your )?(java ?scripts?|scripts?\b)|(turn|switch) (java ?scripts?|scripts) on\b|java ?script (is|must be|has to be|needs to be) (required|needed|enabled|disabled|off|switched|turned)"
-    r"|scripts? (is|are|must be) (blocked|disabled|required|needed|off|enabled|switched|turned|allowed)|needs? (java ?)?scripts? to (be|run|work)|(requires?|needs?) java ?script"
-    r"|(does|do|can|could) ?not (run|support|execute) (java ?)?scripts?|without (java ?script|scripts) (this|the) (page|site|app)|checking your browser|cookies must be allowed"
-    r"|aktivieren sie java ?script|schalten sie java ?script|java ?script (aktivieren|einschalten|ist (deaktiviert|ausgeschaltet|erforderlich)|wird benötigt)|(benötigt|braucht) java ?script"
-    r"|activer java ?script|activez java ?script|java ?script (est|doit être) |nécessite java ?script|(active|habilite|activar|habilitar) java ?script|(requiere|necesita) java ?script|java ?script (está|es) ",
-    re.I,
-)
-RELATED = re.compile(
-    r"^(popular (this|right|now)|most (read|popular|viewed)|read (next|more|also)|related|more from|more on this|you (may|might) (also )?like|see also|recommended|trending|latest (stories|posts)"
-    r"|das könnte sie|mehr zum thema|meistgelesen|lesen sie auch|weitere (artikel|beiträge)|les plus lus|à lire aussi|lire aussi|sur le même|lo más (leído|visto)|le puede interesar|también le|más sobre|artículos relacionados)",
-    re.I,
-)
-REPLIES = re.compile(r"^(\d+|no|keine|aucun|sin) (repl(y|ies)|comments?|kommentare?|antworten|antwort|commentaires?|réponses?|comentarios?|respuestas?)\b|^(comments|kommentare|commentaires|comentarios)$", re.I)
-_LABELS = """
-home|news|blog|shop|search|contact|contact us|about|about us|our team|team|careers|jobs|support|help|faq|services|products|prices|pricing|gallery|events|partners|archive|downloads|log in|login|sign in|sign up|register|cart|sitemap|press|menu
-share this page|share|print|send to a friend|save for later|tweet|back to top|skip to content|next|previous
-accept all|accept|reject|reject all|decline|only necessary|got it|agree|i agree|settings|manage choices|fine by me|no, thanks|ok
-startseite|aktuelles|anfahrt|anmelden|kontakt|leistungen|preise|produkte|suche|über uns|nur notwendige|alle annehmen|ablehnen|einstellungen|teilen|drucken
-accueil|actualités|boutique|tarifs|recherche|équipe|à propos|connexion|archives|produits|refuser|tout accepter|partager|imprimer|envoyer
-inicio|noticias|tienda|precios|buscar|equipo|nosotros|sobre nosotros|acceder|contacto|productos|servicios|archivo|aceptar todo|rechazar|compartir|imprimir|enviar
-"""
-LABELS = frozenset(x for line in _LABELS.strip().splitlines() for x in line.split("|"))
-
-# --- weights ------------------------------------------------------------------------------------
+# --- capacities ---------------------------------------------------------------------------------
 
+#: Largest terminal capacity of a node.
+MOST = 3.0
 W_LINE_BREAK = 6.0  # lines of one block element
-W_SAME = 1.0  # neighbours in one container
-W_ACROSS = 0.15  # neighbours in different containers
-W_DOM = 0.35  # a line and its container
-#: Evidence of a line by the element that holds it, positive for main content.
-TAG = {"h1": 4.0, "h2": 3.0, "h3": 0.5, "h4": 0.5, "h5": 0.0, "h6": 0.0, "p": 1.5, "li": 1.5, "td": 2.0, "th": 2.0, "tr": 2.0, "dd": 1.5, "dt": 1.5,
-       "blockquote": 3.0, "pre": 6.0, "code": 3.0, "figcaption": 3.0, "caption": 3.0, "span": -3.5, "a": -3.5, "b": -2.0, "strong": -1.0, "button": -5.0, "label": -3.0,
-       "option": -5.0, "div": 0.5, "": 2.0}
-CONTAINER = {"nav": -6.0, "aside": -4.0, "footer": -6.0, "form": -3.0, "header": -1.0, "article": 1.0, "main": 1.0}
-CUE = {"consent": -6.0, "footer": -6.0, "letter": -6.0, "scripts": -7.0, "label": -4.0, "crumb": -7.0, "links": -6.0, "related": -8.0, "in_related": -7.0}
+W_SAME = 0.8  # neighbours in one container
+W_LINE = 0.2  # neighbouring lines of plain text
+W_ACROSS = 0.1  # neighbours in different containers
+W_DOM = 0.35  # a node and its container
+W_LIST = 1.5  # an entry and its list
+W_HEADING = 3.4  # a node below a heading, if the heading is boilerplate
+W_WALL = 3.4  # a node in a wall
+WALLS = frozenset(["nav", "aside", "footer", "form"])
+
+# --- classifier ---------------------------------------------------------------------------------
+
+#: Prior weights by element, positive for main content.
+TAG = {"h1": 2.0, "h2": 1.5, "h3": 0.3, "h4": 0.3, "p": 1.0, "li": 0.7, "td": 1.5, "tr": 1.5, "blockquote": 2.0, "pre": 3.0, "code": 1.5, "figcaption": 2.0,
+       "span": -1.5, "a": -1.5, "b": -0.7, "button": -2.0, "label": -1.5, "option": -2.0, "div": 0.0, "": 0.7}
+PRIOR_LINKED, PRIOR_SENTENCE, PRIOR_CELLS = -2.0, 0.8, -4.0
+#: Buckets of the words' weights.
+BUCKETS = 1 << 15
+#: Bounds of the sample: sites, pages of a site, characters of a page's body that is taken whole or not at all.
+SITES, SITE_PAGES, SAMPLE_CHARS = 64, 24, 50_000
+#: A text on this share of a site's sampled pages is template, given so many pages.
+TEMPLATE_SHARE, TEMPLATE_PAGES = 0.1, 5
+#: A line of plain text heads those below it if it has at most so many words, a capacity below LEAD, and content of a capacity of LEAD_AFTER above it.
+LEAD_WORDS, LEAD, LEAD_AFTER = 8, -1.0, 6.0
+LEAD_LINES = 10
+ITERATIONS, ROUNDS, RIDGE = 40, 2, 0.02
 
 _TOKEN = re.compile(r"<!--|<!(?:doctype|\[cdata\[)[^<>]*>|<\?xml[^<>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
 _STARTS = re.compile(r"\s{0,3}<(?:!--|!doctype\s+html|html|head|body|div|nav|header|article|main|section|p|table|ul|h[1-6])\b", re.I)
 _DOCUMENT = re.compile(r"^<(?:!doctype\s+html|html|body)\b[^<>]*>", re.I | re.M)
 _CLOSES = re.compile(r"</(?:html|head|body|div|article|main|section|p|table|ul|h[1-6]|a|span)\s*>", re.I)
+#: Where a line that holds several blocks is cut.
+_BLOCK_START = re.compile(r"(?=<(?:p|h[1-6]|li|dd|dt|div|nav|aside|footer|header|main|article|section|form|blockquote|figcaption|pre|table|tr|ul|ol|dl|button|noscript|script|style|title|head|body)\b)|(?=</(?:nav|aside|footer|header|main|article|section|form|ul|ol|table|body|html)\b)|(?<=</script>)|(?<=</style>)|(?<=</title>)|(?<=</noscript>)", re.I)
 _HIDDEN = frozenset(["script", "style", "noscript", "head", "title", "template", "svg", "textarea", "select", "iframe", "object"])
 _BLOCKS = frozenset(["div", "nav", "aside", "footer", "header", "main", "article", "section", "td", "th", "tr", "ul", "ol", "dl", "table", "tbody", "form", "blockquote", "figure", "body", "html"])
-#: Depth to which containers are followed.
-MOST_DEPTH = 512
-_LISTS = frozenset(["ul", "ol", "dl"])
-_WALLS = frozenset(["footer", "nav", "aside"])
-_HOLDERS = frozenset(TAG) - {""}
+_LISTS = frozenset(["ul", "ol", "dl", "table", "tbody", "tr", "blockquote", "figure"])
+_HEADINGS = frozenset(["h2", "h3", "h4", "h5", "h6"])
+_HOLDERS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "td", "th", "tr", "dd", "dt", "blockquote", "pre", "code", "figcaption", "caption", "span", "a", "b", "strong", "button", "label", "option", "div"])
 _INLINE = frozenset(["span", "a", "b", "strong", "button", "label", "code"])
 _VOID_BREAK = frozenset(["br", "hr"])
 #: The commonest lines, which need no tokens: one element with text, and a list entry with one link.
 _SIMPLE = re.compile(r"\s*<(p|li|span|h[1-6]|b)>([^<>]*)</\1>\s*$")
 _LINKED = re.compile(r"\s*<li><a(?: [^<>]*)?>([^<>]*)</a></li>\s*$")
 _LI = (("open", "li"), ("close", "li"))
-_CRUMB_SIGN = re.compile(" [›»>→/] ")
-_CRUMB = re.compile(r"^[^›»>|]{1,60}( [›»>→/] [^›»>→]{1,120}){2,}$")
-
-
-#: Stems of the patterns above: a text without a pattern's stems can't match it and isn't searched.
-_STEMS = {
-    1: "cookie|tracking pix|tracker|session token|local storage|identifier|similar tech|device data|your consent|unless you object|privacy|remember what|on your device"
-    "|combine this|purposes you|change your mind|auf ihrem|ihre wahl|datenschutz|petits fichiers|avis à tout|sur les données|pequeños arch|de opinión|de privacidad|einwilligung|consentement|consentimiento",
-    2: "rights reserved|rechte vorbehalten|droits réserv|derechos reserv|©|(c)|copyright|since|prices include|reprints|from the publisher|liability|haftung|responsabilité|no responde"
-    "|texts and pictures|before copying|guest pieces|small association|under number|we ship to|accept returns|phone orders|made with care|back to top|nach oben|haut de page|volver arriba"
-    "|terms of use|accessibility statement|imprint|impressum|privacy|datenschutz|mentions légales|données personnelles|aviso legal|privacidad",
-    4: "letter|digest|our picks|leave your address|join the readers|never miss|hear from|by mail|stay close|rundbrief|eintragen|lettre|nuestra carta|s'inscrire|s’inscrire|suscribirse|subscribe",
-    8: "javascript|java script|script|checking your browser|cookies must",
-}
-
-
-def _automaton():
-    import ahocorasick
-
-    a = ahocorasick.Automaton()
-    seen: dict[str, int] = {}
-    for bit, stems in _STEMS.items():
-        for s in stems.split("|"):
-            seen[s] = seen.get(s, 0) | bit
-    for s, bits in seen.items():
-        a.add_word(s, bits)
-    a.make_automaton()
-    return a
-
-
-_AUTOMATON = None
-
-
-def _cues(text: str) -> float:
-    """Evidence by words alone."""
-    global _AUTOMATON
-    if _AUTOMATON is None:
-        _AUTOMATON = _automaton()
-    u = 0.0
-    low = text.lower()
-    if len(low) < 40 and low.strip(" *•·-–|") in LABELS:
-        u += CUE["label"]
-    bits = 0
-    for _, b in _AUTOMATON.iter(low):
-        bits |= b
-    if bits & 1:
-        n_consent = len(CONSENT.findall(text))
-        if n_consent:
-            u += CUE["consent"] if len(text) < 160 * n_consent or n_consent > 1 else CUE["consent"] / 3
-    if bits & 2 and FOOTER.search(text):
-        u += CUE["footer"] if len(text) < 200 else CUE["footer"] / 4
-    if bits & 4 and LETTER.search(text):
-        u += CUE["letter"] if len(text) < 160 else CUE["letter"] / 4
-    if bits & 8 and len(text) < 260 and SCRIPTS.search(text) and "<" not in text and "`" not in text:
-        u += CUE["scripts"] / (1.0 if len(text) < 140 else 2.0)
-    if len(text) < 160 and _CRUMB_SIGN.search(text) and _CRUMB.match(text):
-        u += CUE["crumb"]
-    return u
+_CELLS = re.compile(r" \| | [›»>→] ")
+_WORD = re.compile(r"[^\W\d_]+")
+_NOSCRIPT = re.compile(r"<noscript\b[^<>]*>([^<]*)</noscript", re.I)
+_COUNT = re.compile(r"^\d+ ")
+_ENDS = frozenset(".!?…:;")
+_CLOSERS = "\"'”’»)]"
+
+
+def _tidy(text: str) -> str:
+    """Every run of white space as one blank."""
+    return " ".join(text.split())
+
+
+def _shape(text: str, n_words: int) -> tuple:
+    """What of a text's form the classifier sees: length, end, cells."""
+    last = text.rstrip(_CLOSERS)[-1:]
+    size = 0 if n_words <= 1 else 1 if n_words <= 3 else 2 if n_words <= 6 else 3 if n_words <= 12 else 4 if n_words <= 25 else 5
+    return size, last in _ENDS and last != "", min(2, len(_CELLS.findall(text)))
+
+
+class Model:
+    """Weights of the line classifier, one per form and one per word bucket."""
+
+    def __init__(self, form: dict | None = None, word=None):
+        self.form, self.word = form or {}, word
+        self._form: dict = {}
+        self._bucket: dict = {}
+
+    def __getstate__(self):
+        return {"form": self.form, "word": self.word}
+
+    def __setstate__(self, s):
+        self.__init__(s["form"], s["word"])
+
+    def form_score(self, key: tuple) -> float:
+        got = self._form.get(key)
+        if got is None:
+            got = self._form[key] = sum(self.form.get(f, 0.0) + prior(f) for f in form_features(key))
+        return got
+
+    def score(self, key: tuple, ws: list[str]) -> float:
+        """Log-odds of main content."""
+        u = self.form_score(key)
+        if self.word is not None and ws:
+            get, s = self._bucket.get, 0.0
+            for w in ws:
+                x = get(w)
+                if x is None:
+                    if len(self._bucket) > 300_000:
+                        self._bucket.clear()
+                    x = self._bucket[w] = float(self.word[bucket(w)])
+                s += x
+            u += s / len(ws) ** 0.5
+        return u
+
+
+def bucket(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+def form_features(key: tuple) -> list[tuple]:
+    marked, holder, linked, (size, ends, cells), indent = key
+    return [("bias", marked), ("holder", holder), ("size", marked, size), ("ends", marked, ends), ("end size", size, ends), ("linked", linked, holder), ("linked", linked), ("cells", cells), ("indent", indent)]
+
+
+def prior(f: tuple) -> float:
+    """Weight of a form feature before any page was seen."""
+    if f[0] == "holder":
+        return TAG.get(f[1], 0.0)
+    if f == ("linked", True):
+        return PRIOR_LINKED
+    if f[0] == "ends" and f[2]:
+        return PRIOR_SENTENCE
+    if f == ("cells", 2):
+        return PRIOR_CELLS
+    if f == ("indent", 2):
+        return TAG["pre"]
+    return 0.0
 
 
 class Node:
-    """A line with visible text."""
+    """A block with visible text."""
 
-    __slots__ = ("line", "text", "u", "block", "holder", "region", "tag")
+    __slots__ = ("line", "text", "raw", "ws", "key", "block", "holder", "region", "head", "wall", "heading", "box")
 
-    def __init__(self, line, text, u, block, holder, tag):
-        self.line, self.text, self.u, self.block, self.holder, self.tag = line, text, u, block, holder, tag
+    def __init__(self, line, text, raw, ws, key, block, holder, region, head, wall, heading, box=False):
+        self.line, self.text, self.raw, self.ws, self.key, self.block, self.holder = line, text, raw, ws, key, block, holder
+        self.region, self.head, self.wall, self.heading, self.box = region, head, wall, heading, box
 
 
-def min_cut(u: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Labels of least cost: ``u[i]`` is what labelling ``i`` False costs beyond True, an edge costs its weight if cut.
+def min_cut(u: list[float], edges: list[tuple[int, int, float, float]]) -> list[bool]:
+    """Labels of least cost.
 
-    Nodes whose terminal capacity outweighs all their open edges keep their side in every minimum
-    cut and are settled first; maximum flow decides the rest. Of equal cuts the larger True side is taken.
+    ``u[i]`` is what labelling ``i`` False costs beyond True. An edge ``(i, j, w, v)`` costs ``w`` if ``i`` is
+    True and ``j`` False, and ``v`` the other way round. Nodes whose terminal capacity outweighs all their
+    open edges keep their side in every minimum cut and are settled first; maximum flow decides the rest.
+    Of equal cuts the larger True side is taken.
     """
     n = len(u)
     u = list(u)
-    near: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-    total = [0.0] * n
-    for i, j, w in edges:
-        near[i].append((j, w))
-        near[j].append((i, w))
-        total[i] += w
-        total[j] += w
+    near: list[list[tuple[int, float, float]]] = [[] for _ in range(n)]
+    up, down = [0.0] * n, [0.0] * n  # what a node True, or False, may still cost by its edges
+    for i, j, w, v in edges:
+        near[i].append((j, w, v))
+        near[j].append((i, v, w))
+        up[i] += w
+        down[i] += v
+        up[j] += v
+        down[j] += w
     side: list[bool | None] = [None] * n
-    todo = [i for i in range(n) if abs(u[i]) >= total[i]]
+    todo = [i for i in range(n) if u[i] >= up[i] or -u[i] >= down[i]]
     while todo:
         i = todo.pop()
         if side[i] is not None:
             continue
-        up = u[i] >= 0
-        side[i] = up
-        for j, w in near[i]:
+        yes = u[i] >= up[i] - 1e-9
+        side[i] = yes
+        for j, w, v in near[i]:
             if side[j] is None:
-                u[j] += w if up else -w
-                total[j] -= w
-                if abs(u[j]) >= total[j] - 1e-9:
+                u[j] += w if yes else -v
+                up[j] -= v
+                down[j] -= w
+                if u[j] >= up[j] - 1e-9 or -u[j] >= down[j] - 1e-9:
                     todo.append(j)
     rest = [i for i in range(n) if side[i] is None]
     if rest:
@@ -202,13 +204,14 @@ def min_cut(u: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     return side  # type: ignore[return-value]
 
 
-def _max_flow(rest: list[int], u: list[float], near: list[list[tuple[int, float]]], side: list[bool | None]) -> None:
+def _max_flow(rest: list[int], u: list[float], near: list[list[tuple[int, float, float]]], side: list[bool | None]) -> None:
     """Shortest augmenting paths over the unsettled nodes; nodes that still reach the sink get False."""
     cap: dict[int, dict[int, float]] = {i: {} for i in rest}
     for i in rest:
-        for j, w in near[i]:
+        for j, w, _ in near[i]:
             if side[j] is None:
                 cap[i][j] = cap[i].get(j, 0.0) + w
+                cap[j].setdefault(i, 0.0)
     src = {i: u[i] for i in rest if u[i] > 0}
     snk = {i: -u[i] for i in rest if u[i] < 0}
     while True:
@@ -247,11 +250,6 @@ def _max_flow(rest: list[int], u: list[float], near: list[list[tuple[int, float]
         side[i] = i not in reach
 
 
-def _tidy(text: str) -> str:
-    """Every run of white space as one blank."""
-    return " ".join(text.split())
-
-
 def _holder(open_tags: list[str], before: str | None) -> str:
     """The element that holds a text: the innermost block, else an inline element that holds all text so far."""
     for t in reversed(open_tags):
@@ -262,97 +260,102 @@ def _holder(open_tags: list[str], before: str | None) -> str:
 
 
 _PARSED: dict[str, tuple] = {}
+_CUT: dict[str, list[str]] = {}
+
+
+def _seen(text: str) -> tuple[list[str], tuple]:
+    ws = _WORD.findall(text.lower())
+    return ws, _shape(text, len(ws))
 
 
 def _parse_line(line: str) -> tuple:
-    """``(events, text, link_share, evidence)`` of a line that starts in plain flow.
+    """``(events, text, link share, holder, words, shape)`` of a piece of a line that starts in plain flow.
 
-    events: the line's tags and text lengths in order, as needed to follow containers.
+    events: the tags in order, as needed to follow containers.
     """
     got = _PARSED.get(line)
     if got is not None:
         return got
+    share, events, holder = 0.0, (), ""
     if "<" not in line:
         text = _tidy(html.unescape(line) if "&" in line else line)
-        got = ((), text, 0.0, _cues(text) if text else 0.0, "")
     elif (m := _SIMPLE.match(line)) is not None:
         tag, raw = m.group(1), m.group(2)
         text = _tidy(html.unescape(raw) if "&" in raw else raw)
         events = (("open", tag), ("close", tag)) if tag in ("p", "li") else ()
-        got = (events, text, 0.0, _cues(text) if text else 0.0, tag if text else "")
+        holder = tag if text else ""
     elif (m := _LINKED.match(line)) is not None:
         raw = m.group(1)
         text = _tidy(html.unescape(raw) if "&" in raw else raw)
-        got = (_LI, text, 1.0 if text else 0.0, _cues(text) if text else 0.0, "li" if text else "")
+        events, share, holder = _LI, 1.0 if text else 0.0, "li" if text else ""
     else:
-        events, parts, at, links, in_a, hidden, holder, first_holder = [], [], 0, 0, 0, "", [], None
-        n = len(line)
-        for m in _TOKEN.finditer(line):
-            if m.start() < at:
-                continue
-            piece = line[at : m.start()]
-            if piece and not hidden:
-                parts.append(piece)
-                if piece.strip():
-                    if in_a:
-                        links += len(piece)
-                    if first_holder is None or first_holder in _INLINE:
-                        first_holder = _holder(holder, first_holder)
-            at = m.end()
-            if m.group(2) is None:  # comment or declaration
-                if not m.group().startswith("<!--"):
-                    continue
-                end = line.find("-->", m.end())
-                if end < 0:
-                    events.append(("comment", ""))
-                    at = n
-                    break
-                at = end + 3
-                continue
-            close, tag = m.group(1), m.group(2).lower()
-            if hidden:
-                if close and tag == hidden:
-                    hidden = ""
-                    events.append(("close", tag))
-                continue
-            if tag in _HIDDEN:
-                if not close and not m.group(3).endswith("/"):
-                    hidden = tag
-                    events.append(("hide", tag))
-                elif close:
-                    events.append(("close", tag))
-                continue
-            if tag == "a":
-                in_a = 0 if close else 1
-            if tag in _VOID_BREAK or tag in _BLOCKS or tag in ("p", "li", "pre") or tag[0] == "h" and len(tag) == 2:
-                parts.append(" ")
-            if tag in _BLOCKS or tag in ("p", "pre", "li"):
-                events.append(("close" if close else "open", tag))
-            if tag in _HOLDERS:
-                if not close:
-                    holder.append(tag)
-                elif tag in holder:
-                    while holder and holder.pop() != tag:
-                        pass
-        rest = line[at:]
-        if rest and not hidden:
-            parts.append(rest)
-            if rest.strip() and (first_holder is None or first_holder in _INLINE):
-                first_holder = _holder(holder, first_holder)
-        raw = "".join(parts)
-        text = _tidy(html.unescape(raw) if "&" in raw else raw)
-        share = min(1.0, links / max(1, len(text)))
-        got = (tuple(events), text, share, _cues(text) if text else 0.0, first_holder or "")
-    _keep(line, got)
-    return got
-
-
-def _keep(line: str, got: tuple) -> None:
-    """Remember what a line gave; boilerplate repeats, long lines don't."""
-    if len(line) <= 600:
+        events, text, share, holder = _tokens(line)
+    got = (events, text, share, holder, *(_seen(text) if text else ([], None)))
+    if len(line) <= 600:  # boilerplate repeats, long lines don't
         if len(_PARSED) > 60_000:
             _PARSED.clear()
         _PARSED[line] = got
+    return got
+
+
+def _tokens(line: str) -> tuple:
+    events, parts, at, links, in_a, hidden, holder, first_holder = [], [], 0, 0, 0, "", [], None
+    n = len(line)
+    for m in _TOKEN.finditer(line):
+        if m.start() < at:
+            continue
+        piece = line[at : m.start()]
+        if piece and not hidden:
+            parts.append(piece)
+            if piece.strip():
+                if in_a:
+                    links += len(piece)
+                if first_holder is None or first_holder in _INLINE:
+                    first_holder = _holder(holder, first_holder)
+        at = m.end()
+        if m.group(2) is None:  # comment or declaration
+            if not m.group().startswith("<!--"):
+                continue
+            end = line.find("-->", m.end())
+            if end < 0:
+                events.append(("comment", ""))
+                at = n
+                break
+            at = end + 3
+            continue
+        close, tag = m.group(1), m.group(2).lower()
+        if hidden:
+            if close and tag == hidden:
+                hidden = ""
+                events.append(("close", tag))
+            continue
+        if tag in _HIDDEN:
+            if not close and not m.group(3).endswith("/"):
+                hidden = tag
+                events.append(("hide", tag))
+            elif close:
+                events.append(("close", tag))
+            continue
+        if tag == "a":
+            in_a = 0 if close else 1
+        if tag in _VOID_BREAK or tag in _BLOCKS or tag in ("p", "li", "pre") or tag[0] == "h" and len(tag) == 2:
+            parts.append(" ")
+        if tag in _BLOCKS or tag in ("p", "pre", "li"):
+            events.append(("close" if close else "open", tag))
+        if tag in _HOLDERS:
+            if not close:
+                holder.append(tag)
+            elif tag in holder:
+                while holder and holder.pop() != tag:
+                    pass
+    rest = line[at:]
+    if rest and not hidden:
+        parts.append(rest)
+        if rest.strip() and (first_holder is None or first_holder in _INLINE):
+            first_holder = _holder(holder, first_holder)
+    raw = "".join(parts)
+    text = _tidy(html.unescape(raw) if "&" in raw else raw)
+    return tuple(events), text, min(1.0, links / max(1, len(text))), (first_holder or "") if text else ""
 
 
 def is_html(body: str) -> bool:
@@ -362,198 +365,385 @@ def is_html(body: str) -> bool:
     return bool(_DOCUMENT.search(body)) and bool(_CLOSES.search(body))
 
 
-def _html_nodes(lines: list[str]) -> tuple[list[Node], int]:
-    """Nodes of a marked-up page and the number of containers."""
+def _pieces(line: str) -> list[str]:
+    """A line, cut before each of its blocks if it holds several, and before the ends of its containers."""
+    if line.count("<") <= 2:
+        return [line]
+    got = _CUT.get(line)
+    if got is None:
+        got = [p for p in _BLOCK_START.split(line) if p] or [line]
+        if len(line) <= 600:
+            if len(_CUT) > 60_000:
+                _CUT.clear()
+            _CUT[line] = got
+    return got
+
+
+class _Box:
+    """An open container: its number, the heading that holds in it, the wall around it."""
+
+    __slots__ = ("tag", "no", "head", "wall", "listed")
+
+    def __init__(self, tag, no, head, wall, listed):
+        self.tag, self.no, self.head, self.wall, self.listed = tag, no, head, wall, listed
+
+
+def _html_nodes(lines: list[str]) -> list[Node]:
+    """Nodes of a marked-up page."""
     nodes: list[Node] = []
-    stack: list[tuple[str, int]] = [("root", 0)]
-    n_blocks, hidden, related, p_id, pre = 1, "", -1, 0, 0
-    container, in_list, walled, over = "", False, False, 0
-    for no, line in enumerate(lines, 1):
+    stack = [_Box("root", 0, -1, -1, False)]
+    count: dict[str, int] = {}
+    n_blocks, hidden, p_id, pre, piece_no = 1, "", 0, 0, 0
+    for no, whole in enumerate(lines, 1):
         if hidden:
             end = "-->" if hidden == "comment" else f"</{hidden}"
-            at = line.lower().find(end)
+            at = whole.lower().find(end)
             if at < 0:
                 continue
-            gt = at + 2 if hidden == "comment" else line.find(">", at)
+            gt = at + 2 if hidden == "comment" else whole.find(">", at)
             hidden = ""
-            line = line[gt + 1 :] if gt >= 0 else ""
-        events, text, share, cue, holder = _parse_line(line)
-        depth_before, opened, low, was_p, was_pre = len(stack), False, len(stack), p_id, pre
-        for what, tag in events:
-            if what == "open":
-                if tag == "p":
-                    p_id = no
-                elif tag == "pre":
-                    pre = no
-                    was_pre = no
-                elif tag != "li" and len(stack) >= MOST_DEPTH:
-                    over += 1  # deeper elements belong to the deepest one kept
-                elif tag != "li":
-                    stack.append((tag, n_blocks))
-                    n_blocks += 1
-                    opened = True
-                    p_id = 0
-            elif what == "close":
-                if tag == "p":
-                    p_id = 0
-                elif tag == "pre":
-                    pre = 0
-                elif tag != "li" and over:
-                    over -= 1
-                elif tag != "li" and any(t == tag for t, _ in stack):
-                    while stack.pop()[0] != tag:
-                        pass
-                    low = min(low, len(stack))
-                    if not stack:
-                        stack.append(("root", 0))
-                    p_id = 0
-            elif what == "hide":
-                hidden = tag
-            elif what == "comment":
-                hidden = "comment"
-        if opened or low < depth_before:
-            container = next((t for t, _ in reversed(stack) if t in CONTAINER), "")
-            in_list = any(t in _LISTS for t, _ in stack[-2:])
-            walled = any(t in _WALLS for t, _ in stack)
-        if hidden and hidden != "comment":
-            # closed again in the same line?
-            last = [e for e in events if e[1] == hidden]
-            if last and last[-1][0] == "close":
+            whole = whole[gt + 1 :] if gt >= 0 else ""
+        for line in _pieces(whole) if not pre or "</pre" in whole else (whole,):
+            piece_no += 1
+            if hidden:
+                end = "-->" if hidden == "comment" else f"</{hidden}"
+                at = line.lower().find(end)
+                if at < 0:
+                    continue
+                gt = at + 2 if hidden == "comment" else line.find(">", at)
                 hidden = ""
-        if related >= 0 and (low < related or opened and not text or opened and len(stack) < depth_before or walled and any(t in _WALLS for t, _ in stack[related:])):
-            related = -1
-        if not text:
-            continue
-        inner = stack[-1][0]
-        u = cue
-        if container:
-            u += CONTAINER[container]
-        if was_pre or pre:
-            u = TAG["pre"] + (CONTAINER[container] if container else 0.0)
-            holder, block = "pre", was_pre or pre
-        else:
-            block = was_p or p_id
-            if not holder:
-                if block:
-                    holder = "p"
-                elif inner in ("td", "th", "blockquote", "div") and any(e == ("open", inner) for e in events):
-                    holder = inner
-            if holder == "li" and share > 0.8 and not in_list:
-                u += CUE["links"]
-            if holder in ("a", "li") and share > 0.8 and events and events[0] == ("open", "div"):
-                u += CUE["links"] / 2
-            if holder == "a" and any(e[1] == "li" for e in events):
-                holder = "li"
-                u += CUE["links"] if not in_list else -0.5
-            u += TAG.get(holder, 0.0)
-            if holder in ("h1", "h2") and cue > -9:
-                u -= cue / 2
-            if holder in ("p", "", "td", "div") and len(text) > 80 and share < 0.5:
-                u += 1.0
-            if holder[:1] == "h" and (RELATED.match(text) or REPLIES.match(text)):
-                u += CUE["related"]
-                related = len(stack)
-            elif related >= 0:
-                u += CUE["in_related"]
-        node = Node(no, text, u, block, holder, inner)
-        node.region = stack[-1][1]
-        nodes.append(node)
-    return nodes, n_blocks
-
-
-def _text_nodes(lines: list[str]) -> tuple[list[Node], int]:
+                line = line[gt + 1 :] if gt >= 0 else ""
+            events, text, share, holder, ws, shape = _parse_line(line)
+            was_p, was_pre, opened = p_id, pre, False
+            for what, tag in events:
+                if what == "open":
+                    if tag == "p":
+                        p_id = piece_no
+                    elif tag == "pre":
+                        pre = was_pre = piece_no
+                    elif tag != "li":
+                        top = stack[-1]
+                        kept = top.head if text or tag in _LISTS else -1  # a container of its own starts anew
+                        if kept < 0 and not text:
+                            top.head = -1
+                        stack.append(_Box(tag, n_blocks, kept, n_blocks if tag in WALLS else top.wall, tag in _LISTS or top.listed and tag not in ("div", "section")))
+                        count[tag] = count.get(tag, 0) + 1
+                        n_blocks += 1
+                        opened = True
+                        p_id = 0
+                elif what == "close":
+                    if tag == "p":
+                        p_id = 0
+                    elif tag == "pre":
+                        pre = 0
+                    elif tag != "li" and count.get(tag):
+                        while True:
+                            out = stack.pop().tag
+                            count[out] -= 1
+                            if out == tag:
+                                break
+                        p_id = 0
+                elif what == "hide":
+                    hidden = tag
+                elif what == "comment":
+                    hidden = "comment"
+            if hidden and hidden != "comment":
+                last = [e for e in events if e[1] == hidden]
+                if last and last[-1][0] == "close":  # closed again in the same line
+                    hidden = ""
+            if not text:
+                continue
+            box = stack[-1]
+            if was_pre or pre:
+                holder, block = "pre", was_pre or pre
+            else:
+                block = was_p or p_id
+                if not holder:
+                    inner = box.tag
+                    if block:
+                        holder = "p"
+                    elif inner in ("td", "th", "blockquote", "div") and any(e == ("open", inner) for e in events):
+                        holder = inner
+                if holder == "a" and any(e[1] == "li" for e in events):
+                    holder = "li"
+                if holder == "a" and events and events[0] == ("open", "div"):
+                    holder = "div"
+                if holder == "li" and share > 0.8 and not box.listed:
+                    holder = "a"
+                if holder in ("th", "tr"):
+                    holder = "td"
+            key = (True, holder, share > 0.6, shape, 0)
+            heading = holder in _HEADINGS
+            nodes.append(Node(no, text, line, ws, key, block, holder, box.no, -1 if heading else box.head, box.wall, heading, box.listed))
+            if heading:
+                box.head = len(nodes) - 1
+    return nodes
+
+
+def _text_nodes(lines: list[str]) -> list[Node]:
     """Nodes of a page of plain text; blank lines part its containers."""
     nodes: list[Node] = []
-    region, related, seen_body = 0, False, False
+    region = 0
     for no, line in enumerate(lines, 1):
-        _, text, _, cue, _ = _plain_line(line)
+        got = _PARSED.get("\0" + line)
+        if got is None:
+            text = _tidy(line)
+            got = (text, *(_seen(text) if text else ([], None)))
+            if len(line) <= 600:
+                if len(_PARSED) > 60_000:
+                    _PARSED.clear()
+                _PARSED["\0" + line] = got
+        text, ws, shape = got
         if not text:
             region += 1
             continue
-        u = cue + 1.5
-        if line[:4] == "    " or line[:1] == "\t":
-            u = 4.0
-        elif text.count(" | ") >= 2 and len(text) < 260 and max(map(len, text.split(" | "))) < 40:
-            u += CUE["links"]
-        elif line[:2] in ("* ", "• ") and not seen_body and len(text) < 40:
-            u += CUE["links"] / 2
-        elif RELATED.match(text) and len(text) < 60 or REPLIES.match(text) and len(text) < 40:
-            u += CUE["related"]
-            related = True
-        elif len(text) > 30 and text[-1] in ".?!…:”\"»":
-            u += 1.0
-        if related and line[:4] != "    ":
-            u += CUE["in_related"]
-        if u > 2.0:
-            seen_body = True
-        node = Node(no, text, u, 0, "", "")
-        node.region = region
-        nodes.append(node)
-    return nodes, region + 1
-
-
-def _plain_line(line: str) -> tuple:
-    got = _PARSED.get("\0" + line)
-    if got is None:
-        text = _tidy(line)
-        got = ((), text, 0.0, _cues(text) if text else 0.0, "")
-        _keep("\0" + line, got)
-    return got
-
+        indent = 2 if line[:4] == "    " or line[:1] == "\t" else 1 if line[:2] in ("* ", "• ", "- ") else 0
+        nodes.append(Node(no, text, line, ws, (False, "", False, shape, indent), 0, "pre" if indent == 2 else "", region, -1, -1, False))
+    return nodes
 
-def label_lines(body: str | None) -> list[tuple[int, str, str]]:
-    """``(line number, visible text, holder)`` of the lines of the main body, in order.
 
-    ``holder`` names the element around the text, ``pre`` for code. Null, empty and blank bodies have none.
-    """
-    if not body or body.isspace():
-        return []
+def page_nodes(body: str) -> tuple[bool, list[Node]]:
     lines = body.split("\n")
     if "\r" in body:
         lines = [x.rstrip("\r") for x in lines]
     marked = is_html(body)
-    nodes, n_blocks = _html_nodes(lines) if marked else _text_nodes(lines)
-    if not nodes:
-        return []
-    n = len(nodes)
-    u = [x.u for x in nodes]
-    edges: list[tuple[int, int, float]] = []
+    return marked, _html_nodes(lines) if marked else _text_nodes(lines)
+
+
+def capacities(nodes: list[Node], model: Model) -> list[float]:
+    return [max(-MOST, min(MOST, model.score(x.key, x.ws))) for x in nodes]
+
+
+def _text_heads(nodes: list[Node], u: list[float]) -> list[int]:
+    """For each line of a plain page, the line that heads it, or -1.
+
+    A short line of boilerplate below content heads the few lines between it and the next boilerplate
+    in its block, or the end of the page.
+    """
+    out = [-1] * len(nodes)
+    content, lead = 0.0, -1
+    for i, x in enumerate(nodes):
+        if lead >= 0 and x.region != nodes[lead].region:
+            lead = -1
+        if u[i] < LEAD:
+            if 0 <= lead and i - lead <= LEAD_LINES + 1:
+                out[lead + 1 : i] = [lead] * (i - lead - 1)
+            lead = i if content >= LEAD_AFTER and len(x.ws) <= LEAD_WORDS and not x.key[4] and not x.key[3][2] else -1
+        content += max(0.0, u[i])
+    if 0 <= lead and len(nodes) - lead <= LEAD_LINES + 1:
+        out[lead + 1 :] = [lead] * (len(nodes) - lead - 1)
+    return out
+
+
+def cut_nodes(marked: bool, nodes: list[Node], model: Model) -> list[bool]:
+    """Which nodes are main content."""
+    u = capacities(nodes, model)
+    edges: list[tuple[int, int, float, float]] = []
     hub: dict[int, int] = {}
+    wall: dict[int, int] = {}
+    lists: dict[int, int] = {}
+    heads = [] if marked else _text_heads(nodes, u)
+    below = [0] * len(nodes)
     for i, x in enumerate(nodes):
         if i:
             p = nodes[i - 1]
-            w = W_LINE_BREAK if x.block and x.block == p.block else W_SAME if x.region == p.region else W_ACROSS
-            edges.append((i - 1, i, w))
+            w = W_LINE_BREAK if x.block and x.block == p.block else (W_SAME if marked else W_LINE) if x.region == p.region else W_ACROSS
+            edges.append((i - 1, i, w, w))
+        head = x.head
+        if not marked:
+            head = heads[i]
+        if head >= 0:
+            edges.append((i, head, W_HEADING, 0.0))
+            below[head] += 1
         if marked:
             h = hub.get(x.region)
             if h is None:
                 h = hub[x.region] = len(u)
                 u.append(0.0)
-            edges.append((i, h, W_DOM))
-    keep = min_cut(u, edges)
-    return [(x.line, x.text, "pre" if x.holder == "pre" or not marked and lines[x.line - 1][:4] == "    " else x.holder) for i, x in enumerate(nodes) if keep[i]]
+            edges.append((i, h, W_DOM, W_DOM))
+            if x.box:
+                h = lists.get(x.region)
+                if h is None:
+                    h = lists[x.region] = len(u)
+                    u.append(0.0)
+                edges.append((i, h, W_LIST, W_LIST))
+            if x.wall >= 0:
+                h = wall.get(x.wall)
+                if h is None:
+                    h = wall[x.wall] = len(u)
+                    u.append(-MOST)
+                edges.append((i, h, W_WALL, 0.0))
+                u[h] -= MOST
+    for i, n in enumerate(below):  # a heading speaks for all that stands below it
+        u[i] *= 1 + n
+    return min_cut(u, edges)[: len(nodes)]
+
+
+#: The classifier before any page was seen.
+UNFITTED = Model()
+
+
+def label_nodes(body: str | None, model: Model = UNFITTED) -> list[Node]:
+    """The nodes of the main body, in order. Null, empty and blank bodies have none."""
+    if not body or body.isspace():
+        return []
+    marked, nodes = page_nodes(body)
+    if not nodes:
+        return []
+    return [x for x, keep in zip(nodes, cut_nodes(marked, nodes, model)) if keep]
 
 
-def main_text(body: str | None) -> str:
-    """Visible text of the main body, a line of the page a line."""
-    return "\n".join(t for _, t, _ in label_lines(body))
+def label_lines(body: str | None, model: Model = UNFITTED) -> list[tuple[int, str, str]]:
+    """``(line number, visible text, holder)`` of the blocks of the main body, in order.
 
+    ``holder`` names the element around the text, ``pre`` for code.
+    """
+    return [(x.line, x.text, x.holder) for x in label_nodes(body, model)]
 
-def _numbered(batches: Iterator) -> Iterator:
-    import pyarrow as pa
 
-    for b in batches:
-        seq, no = [], []
-        for s, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            for x in label_lines(body):
-                seq.append(s)
-                no.append(x[0])
-        yield pa.RecordBatch.from_arrays([pa.array(seq, pa.int64()), pa.array(no, pa.int32())], names=["seq", "line_no"])
+def main_text(body: str | None, model: Model = UNFITTED) -> str:
+    """Visible text of the main body, a block a line."""
+    return "\n".join(x.text for x in label_nodes(body, model))
 
 
-def main_lines(pages: DataFrame) -> DataFrame:
+# --- fitting ------------------------------------------------------------------------------------
+
+
+def learn(pages: list[tuple[str, str, str]]) -> Model:
+    """The classifier of ``(site, url, body)`` pages, labelled by what recurs on each site.
+
+    Repeated bodies of a site count once. Sites of fewer than TEMPLATE_PAGES pages give no labels; without
+    any label the prior holds.
+    """
+    import numpy as np
+
+    sites: dict[str, dict] = {}
+    for site, url, body in pages:
+        if body and not body.isspace():
+            sites.setdefault(site or "", {})[body] = url
+    parsed, labels = [], []
+    for bodies in sites.values():
+        got = [page_nodes(b) for b in bodies]
+        on: dict[str, set] = {}
+        for k, (_, nodes) in enumerate(got):
+            for x in nodes:
+                on.setdefault(_COUNT.sub("0 ", x.text), set()).add(k)
+        known = len(got) >= TEMPLATE_PAGES
+        for k, (marked, nodes) in enumerate(got):
+            parsed.append((marked, nodes))
+            row = []
+            for x in nodes:
+                n = len(on[_COUNT.sub("0 ", x.text)])
+                row.append(None if x.holder == "pre" else 0.0 if known and n >= max(3, TEMPLATE_SHARE * len(got)) or x.wall >= 0 else 1.0 if known and n == 1 and not x.key[2] and x.key[3][2] < 2 and x.head < 0 else None)
+            labels.append(row)
+    if not any(y is not None for row in labels for y in row):
+        return Model()
+    flat = [x for _, nodes in parsed for x in nodes]
+    n_pages = len(flat)
+    for bodies in sites.values():  # what stands for a page without scripts is no content
+        for b in bodies:
+            for t in _NOSCRIPT.findall(b) if "oscript" in b or "OSCRIPT" in b else ():
+                text = _tidy(html.unescape(t))
+                if text:
+                    ws, shape = _seen(text)
+                    flat.append(Node(0, text, "", ws, (True, "p", False, shape, 0), 0, "p", 0, -1, -1, False))
+    names: dict = {}
+    ids: dict = {}
+    fi, fp, wi, wp, wv = [], [], [], [], []
+    for i, x in enumerate(flat):
+        for f in form_features(x.key):
+            fi.append(names.setdefault(f, len(names)))
+            fp.append(i)
+        v = 1.0 / max(1, len(x.ws)) ** 0.5
+        for w in x.ws:
+            b = ids.get(w)
+            if b is None:
+                b = ids[w] = bucket(w)
+            wi.append(b)
+            wp.append(i)
+            wv.append(v)
+    fi, fp, wi, wp, wv = (np.array(a) for a in (fi, fp, wi, wp, wv))
+    start = np.array([prior(f) for f in names])
+    fixed = [0.0] * (len(flat) - n_pages)
+    y = np.array([np.nan if v is None else v for row in labels for v in row] + fixed)
+    model = Model()
+    for k in range(ROUNDS):
+        form, word = _logistic(y, len(flat), fi, fp, start, wi, wp, wv)
+        model = Model({f: float(form[n] - start[n]) for f, n in names.items()}, word.astype(np.float32))
+        if k + 1 < ROUNDS:
+            y = np.array([1.0 if v else 0.0 for marked, nodes in parsed for v in cut_nodes(marked, nodes, model)] + fixed)
+    return model
+
+
+def _logistic(y, n, fi, fp, start, wi, wp, wv):
+    """Ridge logistic regression around the prior, classes of equal weight, by scaled gradient steps."""
+    import numpy as np
+
+    known = ~np.isnan(y)
+    yy = np.where(known, y, 0.0)
+    one, zero = (known & (yy == 1)).sum(), (known & (yy == 0)).sum()
+    weight = np.where(known, np.where(yy == 1, 0.5 / max(1, one), 0.5 / max(1, zero)), 0.0) * (one + zero)
+    form, word = start.copy(), np.zeros(BUCKETS)
+    gf2, gw2 = np.full(len(form), 1e-8), np.full(BUCKETS, 1e-8)
+    for k in range(ITERATIONS):
+        u = np.bincount(fp, form[fi], n) + np.bincount(wp, word[wi] * wv, n)
+        g = weight * (1 / (1 + np.exp(-np.clip(u, -30, 30))) - yy)
+        gf = np.bincount(fi, g[fp], len(form)) + RIDGE * (form - start)
+        gw = np.bincount(wi, g[wp] * wv, BUCKETS) + RIDGE * word
+        gf2 += gf * gf
+        gw2 += gw * gw
+        form -= 0.5 * gf / np.sqrt(gf2)
+        word -= 0.5 * gw / np.sqrt(gw2)
+    return form, word
+
+
+def fit(pages: DataFrame) -> Model:
+    """The classifier for these pages, learned on the driver from a bounded sample.
+
+    Of the SITES sites first in hash order with TEMPLATE_PAGES pages or more, about SITE_PAGES pages each are
+    taken in hash order of their URL, at most ``SITES * SITE_PAGES`` in all, each of up to SAMPLE_CHARS
+    characters. Frames without ``site`` and ``url`` give the prior.
+    """
+    if not {"site", "url", "body"} <= set(pages.columns):
+        return UNFITTED
+    known = pages.where("body IS NOT NULL AND site IS NOT NULL")
+    n = known.groupBy("site").agg(F.count("*").alias("n")).where(F.col("n") >= TEMPLATE_PAGES)
+    chosen = {r["site"]: r["n"] for r in n.orderBy(F.xxhash64("site"), "site").limit(SITES).collect()}
+    if not chosen:
+        return UNFITTED
+    every = F.create_map(*[F.lit(x) for s, k in chosen.items() for x in (s, max(1, k // SITE_PAGES))])
+    at = F.xxhash64("url", "seq") if "seq" in pages.columns else F.xxhash64("url")
+    rows = (
+        known.where(F.col("site").isin(list(chosen)) & (F.length("body") <= SAMPLE_CHARS)).withColumn("at", at)
+        .where(F.pmod("at", F.element_at(every, F.col("site"))) == 0)
+        .select("at", "site", "url", "body").orderBy("at", "url").limit(SITES * SITE_PAGES).collect()
+    )
+    return learn([(r["site"], r["url"], r["body"]) for r in rows])
+
+
+def _numbered(model: Model):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            seq, no = [], []
+            for s, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                last = 0
+                for x in label_nodes(body, model):
+                    if x.line != last:
+                        seq.append(s)
+                        no.append(x.line)
+                        last = x.line
+            yield pa.RecordBatch.from_arrays([pa.array(seq, pa.int64()), pa.array(no, pa.int32())], names=["seq", "line_no"])
+
+    return run
+
+
+def main_lines(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """``(seq, line_no)`` of the lines that carry text of the main body, lines counted from 1.
 
-    Repeated rows are labelled each for itself; null and blank bodies yield nothing; other columns are ignored.
+    The classifier is fitted to the pages unless one is given. Repeated rows are labelled each for itself;
+    null and blank bodies yield nothing; other columns are ignored.
     """
-    return map_arrow(pages.select("seq", "body"), _numbered, "seq long, line_no int")
+    model = fit(pages) if model is None else model
+    return map_arrow(pages.select("seq", "body"), _numbered(model), "seq long, line_no int")

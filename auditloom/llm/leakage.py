@@ -1,8 +1,10 @@
 """Evaluation texts that leaked into a corpus, by latent semantic retrieval.
 
 Texts are cut into short word windows, weighted by TF-IDF with document frequencies of the whole
-corpus, and projected by a randomised SVD that is computed over all windows in distributed passes.
-Windows of items near in cosine are candidates; an exact check of the longest common run decides.
+corpus, and projected by a randomised SVD that is computed over all windows in distributed passes. The
+items' windows are indexed in cells of the latent space; a document window asks only the cells that can
+hold a neighbour within the cosine. Every such pair is a candidate, whatever its words; the longest
+common run of words along the pair decides.
 
 A shared run of ``RUN`` words holds a whole window of ``WINDOW`` words of the document, as windows
 start every ``WINDOW`` words of a stretch; items have windows at every word. Equal windows have cosine
@@ -28,14 +30,14 @@ from auditloom.session import map_arrow, materialise
 RUN, WINDOW = 15, 8
 #: Rank of the latent space, with its oversampling; power rounds.
 RANK, OVER, POWER = 24, 8, 1
-#: Width of the term space; a larger vocabulary is hashed into it.
-FEATURES = 4096
 #: Least cosine of candidates for verbatim passages.
 COSINE = 0.985
 #: Words of items handled at once; more items are handled in several rounds.
-ITEM_WORDS = 400_000
-#: Groups into which partitions' sketches are summed before they meet on the driver.
-FAN_IN = 32
+ITEM_WORDS = 100_000
+#: Sketches that one task sums, and that meet on the driver at most.
+FAN_IN = 8
+#: Items' windows of one cell of the index, on average.
+CELL = 64
 #: A paraphrase holds this share of an item's words in order, and its answer tokens.
 SUBSEQUENCE = 0.8
 
@@ -63,10 +65,6 @@ class Items:
             self._numeric = {v for k, v in self.vocab.items() if any(c.isdigit() for c in k)}
         return term in self._numeric
 
-    @property
-    def features(self) -> int:
-        return min(FEATURES, max(1, len(self.vocab)))
-
 
 def _stretches(items: Items):
     vocab = items.vocab
@@ -118,45 +116,53 @@ def _windows(terms: list, step: int):
     return np.concatenate(out), np.concatenate(of), np.concatenate(at)
 
 
-def _rows(win, weight, features: int):
-    """TF-IDF rows of windows, of length 1, as a dense block."""
+def _weights(win, weight):
+    """TF-IDF of the windows' words, such that each window's row of the term space has length 1; a word twice counts twice."""
     import numpy as np
 
-    block = np.zeros((len(win), features), dtype=np.float32)
-    r = np.arange(len(win))
-    for j in range(WINDOW):  # a word twice in a window counts twice
-        block[r, win[:, j] % features] += weight[win[:, j]]
-    norm = np.sqrt((block * block).sum(axis=1, keepdims=True))
-    return block / np.maximum(norm, 1e-12)
+    w = weight[win]
+    same = win[:, :, None] == win[:, None, :]
+    norm = np.sqrt(np.einsum("ij,ik,ijk->i", w, w, same))
+    return w / np.maximum(norm, 1e-12)[:, None]
 
 
 def _project(win, weight, basis):
-    """Latent vectors of length 1 without building the dense rows."""
+    """Latent vectors of length 1."""
     import numpy as np
 
-    f = basis.shape[0]
     e = np.zeros((len(win), basis.shape[1]), dtype=np.float32)
     for j in range(WINDOW):
-        e += basis[win[:, j] % f] * weight[win[:, j]][:, None]
+        e += basis[win[:, j]] * weight[win[:, j]][:, None]
     return e / np.maximum(np.sqrt((e * e).sum(axis=1, keepdims=True)), 1e-12)
 
 
-def _sketch(weight, q):
-    """Per partition: the sum over its windows' rows a of a'(a q)."""
+def _gram(win, weight, q):
+    """The sum over the windows' rows a of a'(a q); only the words of the windows are touched."""
+    import numpy as np
+
+    acc = np.zeros(q.shape)
+    for lo in range(0, len(win), 8192):
+        some = win[lo : lo + 8192]
+        w = _weights(some, weight)
+        aq = np.einsum("ij,ijk->ik", w, q[some])
+        terms = some.ravel()
+        order = np.argsort(terms, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], np.diff(terms[order]) > 0)))
+        rows = (w[:, :, None] * aq[:, None, :]).reshape(len(terms), -1)[order]
+        acc[terms[order][first]] += np.add.reduceat(rows, first, axis=0)
+    return acc
 
+
+def _sketch(weight, q):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        acc = np.zeros(q.shape, dtype=np.float64)
+        acc = np.zeros(q.shape)
         for b in batches:
-            win = _windows(b.column("terms").to_pylist(), WINDOW)[0]
-            for a in range(0, len(win), 4096):
-                rows = _rows(win[a : a + 4096], weight, q.shape[0])
-                acc += rows.T @ (rows @ q)
-        g = TaskContext.get().partitionId() % FAN_IN
-        yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([acc.astype("<f8").tobytes()], pa.binary())], names=["g", "m"])
+            acc += _gram(_windows(b.column("terms").to_pylist(), WINDOW)[0], weight, q)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([acc.astype("<f8").tobytes()], pa.binary())], names=["g", "m"])
 
     return run
 
@@ -175,23 +181,26 @@ def _sum_blobs(key, part):
 def _basis(stretches: DataFrame, items: Items, weight):
     """Right singular vectors of the TF-IDF windows of all documents: randomised range, power rounds, small SVD.
 
-    The driver holds FEATURES x (RANK + OVER) numbers, whatever the corpus.
+    Sketches have ITEM_WORDS rows at most, whatever the corpus; FAN_IN of them meet in a task or on the driver.
     """
     import numpy as np
 
-    f = items.features
+    f = max(1, len(items.vocab))
     width = min(f, RANK + OVER)
     own = _windows(items.words, 1)[0]
+    n_parts = stretches.rdd.getNumPartitions()
 
     def apply(q):
         parts = map_arrow(stretches, _sketch(weight, q.astype(np.float32)), "g int, m binary")
-        summed = parts.groupBy("g").applyInArrow(_sum_blobs, "g int, m binary").collect()  # FAN_IN matrices at most
-        out = np.zeros(q.shape)
-        for r in summed:
+        left = n_parts
+        while True:
+            parts = parts.withColumn("g", (F.col("g") / FAN_IN).cast("int")).groupBy("g").applyInArrow(_sum_blobs, "g int, m binary")
+            left = -(-left // FAN_IN)
+            if left <= FAN_IN:
+                break
+        out = _gram(own, weight, q)  # the items' windows belong to the passages
+        for r in parts.collect():  # FAN_IN matrices at most
             out += np.frombuffer(r["m"], "<f8").reshape(q.shape)
-        for a in range(0, len(own), 4096):  # the items' windows belong to the passages
-            rows = _rows(own[a : a + 4096], weight, f).astype(np.float64)
-            out += rows.T @ (rows @ q)
         return out
 
     q = np.linalg.qr(np.random.default_rng(5).standard_normal((f, width)))[0]
@@ -203,15 +212,81 @@ def _basis(stretches: DataFrame, items: Items, weight):
     return (q @ vec[:, order]).astype(np.float32)
 
 
-def _common_run(x, i: int, y, j: int) -> int:
-    """Length of the longest run through the equal windows at ``x[i:]`` and ``y[j:]``."""
-    a = 0
-    while i - a > 0 and j - a > 0 and x[i - a - 1] == y[j - a - 1]:
-        a += 1
-    b = 0
-    while i + b < len(x) and j + b < len(y) and x[i + b] == y[j + b]:
-        b += 1
-    return a + b
+class Cells:
+    """An index of unit vectors: cells around some of them, each with its radius.
+
+    By the triangle inequality of angles a cell farther from a query than the asked angle and its radius
+    holds no neighbour, so pruning loses nothing.
+    """
+
+    def __init__(self, vec, cosine: float):
+        import numpy as np
+
+        self.cosine = cosine
+        n = -(-len(vec) // CELL)
+        centre = vec[np.random.default_rng(3).permutation(len(vec))[:n]]
+        for _ in range(3):
+            own = (vec @ centre.T).argmax(axis=1) if n else np.zeros(0, int)
+            total = np.zeros_like(centre)
+            np.add.at(total, own, vec)
+            norm = np.sqrt((total * total).sum(axis=1, keepdims=True))
+            centre = np.where(norm > 1e-9, total / np.maximum(norm, 1e-9), centre)
+        near = vec @ centre.T
+        own = near.argmax(axis=1) if n else np.zeros(0, int)
+        order = np.argsort(own, kind="stable")
+        first = np.searchsorted(own[order], np.arange(n + 1))
+        self.members = [order[first[k] : first[k + 1]] for k in range(n)]
+        angle = np.arccos(np.clip(near[np.arange(len(vec)), own], -1, 1)) if len(vec) else np.zeros(0)
+        radius = np.array([angle[m].max() if len(m) else -10.0 for m in self.members])
+        self.centre = centre.T
+        self.least = np.cos(np.minimum(np.pi, np.arccos(cosine) + np.maximum(radius, 0) + 1e-3))
+        self.least[radius < 0] = 2.0
+        self.vec = [np.ascontiguousarray(vec[m].T) for m in self.members]
+
+    def near(self, queries):
+        """``(query, vector)`` of all pairs within the cosine."""
+        import numpy as np
+
+        out_q, out_v = [], []
+        for lo in range(0, len(queries), 16384):
+            some = queries[lo : lo + 16384]
+            ask = some @ self.centre >= self.least
+            for k in np.flatnonzero(ask.any(axis=0)):
+                at = np.flatnonzero(ask[:, k])
+                u, v = np.nonzero(some[at] @ self.vec[k] >= self.cosine)
+                out_q.append(at[u] + lo)
+                out_v.append(self.members[k][v])
+        none = np.zeros(0, np.int64)
+        return np.concatenate(out_q or [none]), np.concatenate(out_v or [none])
+
+
+def _longest_runs(x, i, y, j):
+    """Length of the longest common run through each pair of places, as far as RUN words from the windows.
+
+    ``x[i]`` faces ``y[j]``; both texts are padded so that no place is near an end.
+    """
+    import numpy as np
+
+    span = np.arange(-RUN, WINDOW + RUN)
+    eq = x[i[:, None] + span] == y[j[:, None] + span]
+    best, run = np.zeros(len(i), np.int32), np.zeros(len(i), np.int32)
+    for k in range(eq.shape[1]):
+        run = np.where(eq[:, k], run + 1, 0)
+        best = np.maximum(best, run)
+    return best
+
+
+def _joined(texts: list, pad: int):
+    """Texts in one array, with padding between and around them, and where each starts."""
+    import numpy as np
+
+    gap = np.full(RUN + WINDOW, pad, np.int32)
+    parts, start, at = [gap], [], len(gap)
+    for t in texts:
+        start.append(at)
+        parts += [np.asarray(t, np.int32), gap]
+        at += len(t) + len(gap)
+    return np.concatenate(parts), np.array(start, np.int64)
 
 
 def _verbatim(items: Items, weight, basis):
@@ -224,35 +299,48 @@ def _verbatim(items: Items, weight, basis):
         own_back = own_back.ravel()
         own_order = np.argsort(own_back, kind="stable")
         own_first = np.searchsorted(own_back[own_order], np.arange(len(own_u) + 1))
-        own_vec = np.ascontiguousarray(_project(own_u, weight, basis).T)
+        cells = Cells(_project(own_u, weight, basis), COSINE)
+        text, start = _joined(items.words, -2)
+        item_ids = np.array(items.ids, np.int64)
         for b in batches:
-            ids, terms = b.column("doc_id").to_pylist(), [np.asarray(t, np.int32) for t in b.column("terms").to_pylist()]
-            docs, found = [], []
+            ids, terms = np.asarray(b.column("doc_id"), np.int64), [np.asarray(t, np.int32) for t in b.column("terms").to_pylist()]
+            found: list = []
             win, of, at = _windows(terms, WINDOW)
             if len(win):
                 uniq, back = np.unique(win, axis=0, return_inverse=True)
                 back = back.ravel()
                 order = np.argsort(back, kind="stable")
                 first = np.searchsorted(back[order], np.arange(len(uniq) + 1))
-                vec = _project(uniq, weight, basis)
-                seen = set()
-                for a in range(0, len(uniq), 512):
-                    near = vec[a : a + 512] @ own_vec
-                    u, o = np.nonzero(near >= COSINE)
-                    same = (uniq[u + a] == own_u[o]).all(axis=1)  # verbatim: the candidate's words agree
-                    for uu, oo in zip((u[same] + a).tolist(), o[same].tolist()):
-                        for w in order[first[uu] : first[uu + 1]].tolist():
-                            for v in own_order[own_first[oo] : own_first[oo + 1]].tolist():
-                                k, item = int(of[w]), int(own_of[v])
-                                if (ids[k], item) not in seen and _common_run(terms[k], int(at[w]), items.words[item], int(own_at[v])) >= RUN:
-                                    seen.add((ids[k], item))
-                                    docs.append(ids[k])
-                                    found.append(items.ids[item])
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64())], names=["doc_id", "item_id"])
+                doc, doc_start = _joined(terms, -1)
+                q, v = cells.near(_project(uniq, weight, basis))
+                # a pair of windows stands for all places of both
+                n_q, n_v = first[q + 1] - first[q], own_first[v + 1] - own_first[v]
+                for lo, hi in _parts(n_q * n_v, 200_000):
+                    nq, nv, qq, vv = n_q[lo:hi], n_v[lo:hi], q[lo:hi], v[lo:hi]
+                    k = _counted(nq * nv)
+                    one = np.repeat(np.arange(len(qq)), nq * nv)
+                    w = order[first[qq][one] + k // nv[one]]
+                    o = own_order[own_first[vv][one] + k % nv[one]]
+                    long = _longest_runs(doc, doc_start[of[w]] + at[w], text, start[own_of[o]] + own_at[o]) >= RUN
+                    if long.any():
+                        found.append(np.unique(np.stack([ids[of[w[long]]], item_ids[own_of[o[long]]]]), axis=1))
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0].copy()), pa.array(pairs[1].copy())], names=["doc_id", "item_id"])
 
     return run
 
 
+def _parts(sizes, most: int):
+    """Consecutive ranges whose sizes sum to little more than ``most``."""
+    import numpy as np
+
+    if not len(sizes):
+        return
+    part = np.cumsum(sizes) // most
+    cut = np.flatnonzero(np.diff(part)) + 1
+    yield from zip([0, *cut.tolist()], [*cut.tolist(), len(sizes)])
+
+
 def subsequence(x: list[int], y: list[int]) -> int:
     """Length of the longest common subsequence, by bit rows."""
     where: dict[int, int] = {}
@@ -375,7 +463,7 @@ def _by_rounds(spark: SparkSession, documents: DataFrame, benchmark: DataFrame,
     """Items are taken in rounds of a bounded number of words, so what is sent to the workers is bounded."""
     known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     total = known.agg(F.sum(F.length("text"))).first()[0] or 0
-    rounds = max(1, -(-total // (5 * ITEM_WORDS)))
+    rounds = max(1, -(-total // (2 * ITEM_WORDS)))  # a word and its blank have two characters at least
     out = spark.createDataFrame([], schema)
     for k in range(rounds):
         part = known.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == k) if rounds > 1 else known

@@ -1,9 +1,11 @@
-"""Per-document text statistics and how far they lie from prose.
-
-One Arrow pass computes the statistics of each document. Of the documents that read like prose, mean
-and covariance are taken per language, trimmed towards the bulk in a few rounds; every document then
-has its Mahalanobis distance and each statistic's contribution. Documents far out whose running text
-is no more than half of them are not natural prose.
+"""Per-document text statistics and how far a document lies from prose.
+
+One Arrow pass computes the statistics of each document and of its passages, runs of lines of some 200
+characters between blank lines. Mean and covariance of prose are estimated per language from the
+passages of all documents, trimmed towards the bulk in a few rounds. A passage's outlierness is its
+Mahalanobis distance; a document's is the median over its passages, weighted by their characters. A
+document whose distance is beyond the cut has more than half of its text outside of prose, and that
+alone decides.
 """
 
 from __future__ import annotations
@@ -17,16 +19,18 @@ from pyspark.sql import functions as F
 
 from auditloom.session import map_arrow, materialise
 
-#: Statistics in the order of the vectors. Counts enter as logarithms.
-STATS = ["log_words", "mean_word_length", "symbol_ratio", "line_punct_share", "common_word_share", "digit_ratio", "running_share", "distinct_share"]
-#: Share of running text from which a document serves as prose for the first estimate, and its least words.
-SEED_RUNNING, SEED_WORDS = 0.9, 20
-#: Trimming rounds, and the squared distance (0.999 quantile of chi-square with 8 degrees) beyond which a document is no inlier.
-ROUNDS, CUT = 3, 26.1
-#: Squared distance from which a document counts as an outlier.
+#: Statistics in the order of the vectors; the words of a line enter as a logarithm.
+STATS = ["log_line_words", "mean_word_length", "symbol_ratio", "line_punct_share", "common_word_share", "joining_word_share", "digit_ratio", "distinct_share"]
+#: Passages that start the estimate: their least words a line and share of joining words.
+SEED_WORDS, SEED_JOINING = 5, 0.15
+#: Trimming rounds, and the squared distance (0.999 quantile of chi-square with 8 degrees) beyond which a passage is no inlier.
+ROUNDS, CUT = 4, 26.1
+#: Squared distance beyond which a document is no prose.
 FAR = 26.1
 #: Spread added to each statistic, so that one that never varies among prose keeps a finite scale.
-FLOOR = {"log_words": 0.5, "mean_word_length": 0.25, "symbol_ratio": 0.01, "line_punct_share": 0.1, "common_word_share": 0.03, "digit_ratio": 0.01, "running_share": 0.03, "distinct_share": 0.05}
+FLOOR = {"log_line_words": 0.3, "mean_word_length": 0.3, "symbol_ratio": 0.015, "line_punct_share": 0.25, "common_word_share": 0.04, "joining_word_share": 0.03, "digit_ratio": 0.02, "distinct_share": 0.08}
+#: Characters from which a passage is closed, and from which a line is cut at the ends of its sentences.
+PASSAGE = 200
 
 # Common words of each language. The first group are articles and the like, which
 # lists of nouns hold too; the second joins words to sentences.
@@ -49,260 +53,269 @@ _GLUE = {
 }
 LANGUAGES = list(_ARTICLES)
 COMMON = {k: frozenset((_ARTICLES[k] + " " + _GLUE[k]).split()) for k in LANGUAGES}
-_ALL_GLUE = frozenset(" ".join(_GLUE.values()).split())
 _OF: dict[str, list[int]] = {}
 for _i, _k in enumerate(LANGUAGES):
     for _w in COMMON[_k]:
         _OF.setdefault(_w, []).append(_i)
 
+_GLUE_OF = {k: frozenset(_GLUE[k].split()) for k in LANGUAGES}
 _WORD = re.compile(r"[^\W_]+")
 _END = re.compile(r"[.!?…:;][\"'”’»)\]]*$")
-_BULLET = re.compile(r"^\s*(?:[-–—*•·▪◦+]|\(?\d{1,3}[.)]|\(?[a-z][.)]|#{1,6}|\[[ x]\])\s+")
-_QUOTE = re.compile(r"^\s*(?:[>|]\s?)+(?=\s*\w)")
-_MARKUP = re.compile(r"</?[a-zA-Z][^<>]*>")
-_CODE_SIGN = re.compile(r"[{}<>=\\^~|]|\(\)|\);|;\s*$|::|->|=>|\[\]|&&|\$\w|^\s*(?:def|class|import|from|return|for|if|while|let|var|const|function|public|SELECT|INSERT|UPDATE)\b.*[:;(){]")
-_LOG = re.compile(r"^\W{0,3}(?:\d{4}-\d\d-\d\d|\d\d:\d\d:\d\d|\d{1,3}(?:\.\d{1,3}){3}\b|\[?(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL)\b)|\b\w+=\S+\s+\w+=\S+")
-_URL = re.compile(r"(?:https?://|www\.)\S+")
-_SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+(?=\S)|\s+(?=\|)|(?<=\|)\s+(?=\w[^|]{60})")
-#: Characters from which a line is judged sentence by sentence.
-LONG_LINE = 160
-_CELLS = re.compile(r"\t|\s{3,}|\|")
-
-
-def _line_kind(line: str, ws: list[str], n_glue: int) -> int:
-    """0: prose may be, 1: surely none, 2: list entry or label that needs its neighbours."""
-    s = line.strip()
-    n = len(ws)
-    if not n:
-        return 1
-    if len(_URL.sub("", s)) * 2 < len(s):
-        return 1
-    if n >= 6 and n_glue >= 0.2 * n and s[-1] in ".!?…\"”»)":
-        return 0
-    cells = len(_CELLS.findall(s))
-    if cells >= 2 and cells * 8 >= n or s.count(";") >= 2 and s.count(";") * 5 >= n or s.count(",") >= 3 and s.count(",") * 4 > n and n_glue < 0.12 * n:
-        return 1
-    if _LOG.search(s):
-        return 1
-    signs = len(_CODE_SIGN.findall(s))
-    if signs and (signs * 6 >= n or signs >= 4):
-        return 1
-    letters = sum(c.isalpha() for c in s)
-    if letters < 0.5 * len(s.replace(" ", "")):
-        return 1
-    if _BULLET.match(line):
-        return 0 if n >= 12 and n_glue >= 0.12 * n else 2
-    return 0
-
-
-def _running(text: str) -> tuple[float, int, int, int, list[str]]:
-    """``(characters in running text, all characters without blanks, lines, lines ending in punctuation, words)``."""
-    total = run = lines = ended = 0
-    all_words: list[str] = []
-    block: list[tuple[str, list[str], int, int]] = []
+_SENTENCE = re.compile(r"(?<=[.!?…;])[\"'”’»)]*\s+(?=\S)")
+_QUOTE = re.compile(r"^(?:[>|]\s?)+")
 
-    def close():
-        nonlocal run
-        if not block:
-            return
-        n = sum(len(b[1]) for b in block)
-        g = sum(b[2] for b in block)
-        size = sum(b[3] for b in block)
-        short = 0
-        if len(block) >= 3:
-            for k, b in enumerate(block):
-                s = b[0]
-                if len(b[1]) <= 8 and len(s) < 55 and (k + 1 == len(block) or not block[k + 1][0][:1].islower()) and not (len(b[1]) > 4 and s[-1:] in ".!?"):
-                    short += 1
-        if short >= 0.7 * len(block) and len(block) >= 3:
-            pass
-        elif n >= 5 and (g >= 0.09 * n or g >= 2 and n < 12 and g >= 0.15 * n):
-            run += size
-        elif n < 12 and n >= 3 and len(block) == 1 and block[0][0][-1:] in ".!?" and g >= 1:
-            run += size
-        block.clear()
-
-    for raw in text.split("\n"):
-        line = raw.rstrip("\r")
+
+def _lines(text: str) -> list[str]:
+    """Trimmed lines, ``""`` where a passage must end; marks of quotation are no text."""
+    out = []
+    for line in text.split("\n"):
         s = line.strip()
-        if not s:
-            close()
-            continue
-        lines += 1
-        if _END.search(s):
-            ended += 1
-        size = len(s) - s.count(" ")
-        total += size
-        if "<" in s and _MARKUP.search(s):
-            bare = _MARKUP.sub(" ", s)
-            ws = _WORD.findall(bare.lower())
-            all_words += ws
-            close()
-            g = sum(w in _ALL_GLUE for w in ws)
-            if s.count("</td") < 2 and len(ws) >= 8 and g >= 0.12 * len(ws):
-                run += len(bare) - bare.count(" ")
+        if s[:1] == ">":
+            s = _QUOTE.sub("", s).strip()
+        if len(s) <= 2 * PASSAGE:
+            out.append(s)
             continue
-        q = _QUOTE.sub("", s) if s[0] in ">|" else s
-        ws = _WORD.findall(q.lower())
-        all_words += ws
-        g = sum(w in _ALL_GLUE for w in ws)
-        if len(q) > LONG_LINE:  # several sentences, maybe with cells or code between
-            close()
-            for part in _SENTENCE.split(q):
-                pw = _WORD.findall(part.lower())
-                pg = sum(w in _ALL_GLUE for w in pw)
-                if _line_kind(part, pw, pg) == 0:
-                    block.append((part, pw, pg, len(part) - part.count(" ")))
-                else:
-                    close()
-            close()
-            continue
-        kind = _line_kind(q, ws, g)
-        if kind:
-            close()
-            continue
-        block.append((q, ws, g, size))
-    close()
-    return run, total, lines, ended, all_words
+        out.append("")
+        at = size = 0
+        for m in _SENTENCE.finditer(s):
+            if m.end() - at >= PASSAGE:
+                out += [s[at : m.end()].strip(), ""]
+                at = m.end()
+        out += [s[at:].strip(), ""]
+    return out
 
 
 def describe(text: str | None) -> tuple:
-    """``(lang, n_words, mean_word_length, symbol_ratio, line_punct_share, common_word_share, digit_ratio, running_share, distinct_share)``.
+    """``(lang, words, stats of the document, [(characters, stats)] of its passages)``.
 
-    The language is the one whose common words are most frequent, ``''`` if none occurs. Null, empty and
-    blank texts have no words and all shares 0.
+    The language is the one whose common words are most frequent, ``""`` if none occurs. Null, empty and
+    blank texts have no words, no passages, and all statistics 0.
     """
     if text is None or not text.strip():
-        return "", 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0
-    run, total, lines, ended, ws = _running(text)
-    n = len(ws)
+        return "", 0, [0.0] * len(STATS), []
+    lines = [(s, _WORD.findall(s.lower())) for s in _lines(text)]
     hits = [0] * len(LANGUAGES)
-    for w in ws:
-        of = _OF.get(w)
-        if of:
-            for i in of:
-                hits[i] += 1
+    for _, ws in lines:
+        for w in ws:
+            of = _OF.get(w)
+            if of:
+                for i in of:
+                    hits[i] += 1
     best = max(hits)
     lang = LANGUAGES[hits.index(best)] if best else ""
-    chars = sum(map(len, ws))
-    digits = sum(len(w) for w in ws if w.isdigit())
-    return (
-        lang, n, chars / n if n else 0.0, max(0.0, (total - chars) / total) if total else 0.0, ended / lines if lines else 0.0,
-        best / n if n else 0.0, digits / total if total else 0.0, run / total if total else 0.0, len(set(ws)) / n if n else 0.0,
-    )
+    common, glue = (COMMON[lang], _GLUE_OF[lang]) if lang else (frozenset(), frozenset())
+    passages: list[list] = []
+    now: list | None = None  # lines, lines ending in punctuation, characters, words, letters in words, digits, common, joining
+    every: list[str] = []
+    seen: list[str] = []
+
+    def close():
+        nonlocal now
+        if now is not None:
+            now.append(len(set(seen)))
+            passages.append(now)
+            seen.clear()
+            now = None
+
+    for s, ws in lines:
+        if not s:
+            close()
+            continue
+        if now is None:
+            now = [0] * 8
+        now[0] += 1
+        now[1] += _END.search(s) is not None
+        now[2] += len(s) - s.count(" ") - s.count("\t")
+        now[3] += len(ws)
+        now[4] += sum(map(len, ws))
+        for w in ws:
+            if w in common:
+                now[6] += 1
+                now[7] += w in glue
+            elif w.isdigit():
+                now[5] += len(w)
+        seen += ws
+        every += ws
+        if now[2] >= PASSAGE:
+            close()
+    close()
+    total = [sum(p[i] for p in passages) for i in range(8)] + [len(set(every))]
+    return lang, total[3], _stats(total), [(p[2], _stats(p)) for p in passages]
+
+
+def _stats(p: list) -> list[float]:
+    lines, ended, chars, n, letters, digits, common, glue, distinct = p
+    return [
+        math.log1p(n / lines) if lines else 0.0, letters / n if n else 0.0, max(0.0, (chars - letters) / chars) if chars else 0.0, ended / lines if lines else 0.0,
+        common / n if n else 0.0, glue / n if n else 0.0, digits / chars if chars else 0.0, distinct / n if n else 0.0,
+    ]
 
 
-_DESCRIBED = (
-    "doc_id long, lang string, n_words long, mean_word_length double, symbol_ratio double, line_punct_share double, "
-    "common_word_share double, digit_ratio double, running_share double, distinct_share double"
-)
+_STATISTICS = "doc_id long, lang string, n_words long, " + ", ".join(f"{s} double" for s in STATS)
+_DESCRIBED = _STATISTICS + ", sizes array<int>, passages array<float>"
 
 
 def _each(batches: Iterator) -> Iterator:
+    import numpy as np
     import pyarrow as pa
 
-    names = [c.split()[0] for c in _DESCRIBED.split(", ")]
-    types = [pa.int64(), pa.string(), pa.int64()] + [pa.float64()] * 7
     for b in batches:
-        rows = [(i, *describe(t)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        cols = list(zip(*rows)) if rows else [[] for _ in names]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+        ids, langs, words, stats, sizes, flat = [], [], [], [], [], []
+        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            lang, n, own, passages = describe(t)
+            ids.append(i)
+            langs.append(lang)
+            words.append(n)
+            stats.append(own)
+            sizes.append([c for c, _ in passages])
+            flat.append(np.array([v for _, p in passages for v in p], dtype=np.float32))
+        table = np.array(stats, dtype=float).reshape(len(ids), len(STATS))
+        cols = [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(words, pa.int64()), *(pa.array(table[:, k].copy()) for k in range(len(STATS)))]
+        cols += [pa.array(sizes, pa.list_(pa.int32())), pa.array(flat, pa.list_(pa.float32()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang", "n_words", *STATS, "sizes", "passages"])
+
+
+def _described(documents: DataFrame) -> DataFrame:
+    return map_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _each, _DESCRIBED)
 
 
 def text_statistics(documents: DataFrame) -> DataFrame:
-    """The statistics of each document's whole text; rows in, rows out, without a shuffle."""
-    return map_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _each, _DESCRIBED)
+    """The statistics of each document's whole text; rows in, rows out, without a shuffle.
 
+    ``mean_line_words`` is the number of words a line.
+    """
+    return _described(documents).select("doc_id", "lang", "n_words", F.expm1("log_line_words").alias("mean_line_words"), *STATS[1:])
 
-def _vector():
-    return [F.log1p("n_words").alias("log_words"), *[F.col(c) for c in STATS[1:]]]
 
+def _vectors(b):
+    """``(passages' statistics, language of each, document of each, characters of each)`` of a batch."""
+    import numpy as np
 
-def _moments(rows: DataFrame) -> dict:
-    """Mean and covariance by language: one aggregate of fixed size, combined before its shuffle."""
-    aggs = [F.count("*").alias("n")]
-    for i, a in enumerate(STATS):
-        aggs.append(F.avg(a).alias(f"m{i}"))
-        for j in range(i, len(STATS)):
-            aggs.append(F.covar_pop(a, STATS[j]).alias(f"c{i}_{j}"))
-    out = {}
-    for r in rows.groupBy("lang").agg(*aggs).collect():  # a row a language
-        out[r["lang"]] = (r["n"], [r[f"m{i}"] for i in range(len(STATS))], [[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(len(STATS))] for i in range(len(STATS))])
-    return out
+    sizes = b.column("sizes").to_pylist()
+    count = [len(s) for s in sizes]
+    x = np.asarray(b.column("passages").flatten(), dtype=float).reshape(-1, len(STATS))
+    of = np.repeat(np.arange(len(count)), count)
+    langs = np.array(b.column("lang").to_pylist(), dtype=object)
+    return x, langs[of] if len(of) else langs[:0], of, np.array([c for s in sizes for c in s], dtype=float)
 
 
-def _scored(model: dict):
+def _distances(x, langs, ready: dict):
+    """Squared distance of each passage and each statistic's part of it."""
+    import numpy as np
+
+    part = np.zeros_like(x)
+    for k in set(langs.tolist()):
+        mean, inv = ready.get(k) or ready["*"]
+        at = langs == k
+        z = x[at] - mean
+        part[at] = z * (z @ inv)  # sums to the squared distance
+    return part.sum(axis=1), part
+
+
+def _ready(model: dict) -> dict:
+    import numpy as np
+
+    return {k: (np.array(m), np.array(p)) for k, (m, p) in model.items()}
+
+
+def _sums(model: dict | None):
+    """Per partition and language: number, sums and products of the passages that count as prose so far."""
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        ready = {k: (np.array(m), np.array(p)) for k, (m, p) in model.items()}
+        ready = _ready(model) if model else None
+        acc: dict[str, object] = {}
         for b in batches:
-            x = np.stack([np.asarray(b.column(c)) for c in STATS], axis=1) if b.num_rows else np.zeros((0, len(STATS)))
-            lang = b.column("lang").to_pylist()
-            d2 = np.zeros(len(x))
-            part = np.zeros_like(x)
-            for k in set(lang):
-                mean, inv = ready.get(k) or ready["*"]
-                at = np.array([v == k for v in lang])
-                z = x[at] - mean
-                p = z * (z @ inv)  # sums to the squared distance
-                part[at] = p
-                d2[at] = p.sum(axis=1)
-            cols = [b.column(i) for i in range(b.num_columns)] + [pa.array(d2)] + [pa.array(part[:, i].copy()) for i in range(len(STATS))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "distance2", *[f"by_{s}" for s in STATS]])
+            x, langs, _, _ = _vectors(b)
+            if not len(x):
+                continue
+            ok = (x[:, STATS.index("joining_word_share")] >= SEED_JOINING) & (x[:, 0] >= math.log1p(SEED_WORDS)) & (langs != "") if ready is None else langs != ""
+            if ready is not None:
+                ok &= _distances(x, langs, ready)[0] <= CUT
+            for k in set(langs[ok].tolist()):
+                one = np.concatenate([np.ones((int((ok & (langs == k)).sum()), 1)), x[ok & (langs == k)]], axis=1)
+                acc[k] = acc.get(k, 0.0) + one.T @ one
+        rows = [(k, i, float(v)) for k, m in acc.items() for i, v in enumerate(m.ravel())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.float64())], names=["lang", "k", "v"])
 
     return run
 
 
-def _inverse(mean: list[float], cov: list[list[float]]):
+def _moments(rows: DataFrame, model: dict | None) -> dict:
+    """Number, mean and covariance by language: a few dozen sums a language, combined before their shuffle."""
     import numpy as np
 
-    c = np.array(cov) + np.diag([FLOOR[s] ** 2 for s in STATS])
-    return list(mean), np.linalg.inv(c).tolist()
+    d = len(STATS) + 1
+    out: dict[str, object] = {}
+    for r in map_arrow(rows, _sums(model), "lang string, k int, v double").groupBy("lang", "k").agg(F.sum("v").alias("v")).collect():
+        out.setdefault(r["lang"], np.zeros(d * d))[r["k"]] = r["v"]
+    return {k: m.reshape(d, d) for k, m in out.items()}
+
+
+def _model(found: dict) -> dict:
+    """Mean and inverse covariance by language, ``*`` for texts of no known one or of one with little prose."""
+    import numpy as np
+
+    def one(m):
+        n = m[0, 0]
+        mean = m[0, 1:] / n
+        cov = m[1:, 1:] / n - np.outer(mean, mean)
+        return mean.tolist(), np.linalg.inv(cov + np.diag([FLOOR[s] ** 2 for s in STATS])).tolist()
+
+    default = [math.log1p(12), 5.0, 0.04, 0.6, 0.45, 0.3, 0.01, 0.85], np.diag([1 / FLOOR[s] ** 2 for s in STATS]).tolist()
+    out = {"*": one(sum(found.values())) if found else default}
+    for lang, m in found.items():
+        if m[0, 0] >= 10 * len(STATS):
+            out[lang] = one(m)
+    return out
+
+
+def _scored(model: dict):
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        ready = _ready(model)
+        for b in batches:
+            x, langs, of, size = _vectors(b)
+            d2, part = _distances(x, langs, ready) if len(x) else (np.zeros(0), np.zeros((0, len(STATS))))
+            got, parts = np.full(b.num_rows, np.inf), np.zeros((b.num_rows, len(STATS)))
+            order = np.lexsort((d2, of))
+            first = np.searchsorted(of[order], np.arange(b.num_rows + 1))
+            for k in range(b.num_rows):  # the passage that holds the middle character
+                mine = order[first[k] : first[k + 1]]
+                if len(mine) and size[mine].sum() > 0:
+                    run_ = np.cumsum(size[mine])
+                    mid = mine[np.searchsorted(run_, run_[-1] / 2)]
+                    got[k], parts[k] = d2[mid], part[mid]
+            cols = [b.column(n) for n in ["doc_id", "lang", "n_words", *STATS]] + [pa.array(got)] + [pa.array(parts[:, i].copy()) for i in range(len(STATS))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang", "n_words", *STATS, "distance2", *[f"by_{s}" for s in STATS]])
+
+    return run
 
 
 def outlierness(documents: DataFrame) -> DataFrame:
-    """Statistics, ``distance`` from prose of the same language and ``by_*``, each statistic's part of its square.
+    """Statistics, ``distance`` from prose of the same language, its square, and ``by_*``, each statistic's part of the square.
 
-    The first estimate takes the documents of mostly running text, later ones the inliers among
-    them. Languages with few such documents, and texts without any common word, use all languages'
-    estimate. Without any prose at all, a plain default of the same form is used. Repeated rows
-    count as often as they occur; an empty table gives an empty result.
+    The first estimate takes the passages with many joining words, later ones the inliers of the estimate
+    before. Languages with few such passages, and texts without any common word, use all languages'
+    estimate; without any prose at all a plain default holds. Empty and blank texts are infinitely far and
+    have no parts. Repeated rows count as often as they occur; an empty table gives an empty result.
     """
-    base = materialise(text_statistics(documents).select("doc_id", "lang", "n_words", *_vector()))
-    seed = base.where((F.col("running_share") >= SEED_RUNNING) & (F.col("n_words") >= SEED_WORDS))
-    inner = seed
-    schema = ", ".join(f"{n} {t}" for n, t in base.dtypes) + ", distance2 double, " + ", ".join(f"by_{s} double" for s in STATS)
-    model: dict = {}
+    base = materialise(_described(documents))
+    rows = base.select("lang", "sizes", "passages")
+    model = None
     for _ in range(ROUNDS):
-        found = _moments(inner)
-        found.pop("", None)
-        model = _model(found)
-        inner = map_arrow(seed, _scored(model), schema).where(F.col("distance2") <= CUT).select(*base.columns)
-    out = map_arrow(base, _scored(model), schema)
-    return out.withColumn("distance", F.sqrt(F.greatest("distance2", F.lit(0.0))))
-
-
-def _model(found: dict) -> dict:
-    total = sum(n for n, _, _ in found.values())
-    k = len(STATS)
-    if total:
-        mean = [sum(n * m[i] for n, m, _ in found.values()) / total for i in range(k)]
-        cov = [[sum(n * (c[i][j] + (m[i] - mean[i]) * (m[j] - mean[j])) for n, m, c in found.values()) / total for j in range(k)] for i in range(k)]
-    else:
-        mean, cov = [math.log1p(200), 5.0, 0.03, 0.8, 0.4, 0.01, 1.0, 0.6], [[0.0] * k for _ in range(k)]
-    out = {"*": _inverse(mean, cov)}
-    for lang, (n, m, c) in found.items():
-        if n >= 5 * k:
-            out[lang] = _inverse(m, c)
-    return out
+        model = _model(_moments(rows, model))
+    schema = _STATISTICS + ", distance2 double, " + ", ".join(f"by_{s} double" for s in STATS)
+    return map_arrow(base, _scored(model), schema).withColumn("distance", F.sqrt(F.greatest("distance2", F.lit(0.0))))
 
 
 def not_prose(documents: DataFrame) -> DataFrame:
-    """``(doc_id, distance)`` of documents that are no natural prose: far out, and at most half running text.
+    """``(doc_id, distance)`` of documents that are no natural prose: those whose distance is beyond the cut.
 
     Null, empty and blank texts belong to them.
     """
-    o = outlierness(documents)
-    return o.where((F.col("n_words") == 0) | (F.col("distance2") > FAR) & (F.col("running_share") < 0.5)).select("doc_id", "distance")
+    return outlierness(documents).where(F.col("distance2") > FAR).select("doc_id", "distance")

@@ -76,7 +76,7 @@ def run_audit(spark, pages, cfg: Config, seed: str, analysis: bool = False, metr
 def _pages(spark, a, cfg: Config):
     if a.pages:
         return spark.read.parquet(a.pages)
-    from auditloom.sources.crawl import crawl, fetch_page, http_fetcher, normalise_url, sitemap_urls
+    from auditloom.sources.crawl import crawl, fetch_page, http_fetcher, normalise_url, robots_files, sitemap_urls
 
     seed = normalise_url(a.url)
     if a.command == "check":
@@ -91,7 +91,10 @@ def _pages(spark, a, cfg: Config):
             return None
 
     listed = sitemap_urls(seed.rstrip("/") + "/sitemap.xml", raw)[: cfg.max_pages]
-    return materialise(crawl(spark, seed, http_fetcher(cfg.rate_limit / 8, timeout=cfg.request_timeout, agent=cfg.user_agent), sitemap=listed, max_pages=cfg.max_pages, max_depth=cfg.max_depth, include=cfg.include, exclude=cfg.exclude, checkpoint=cfg.checkpoint_file or None))
+    robots = None
+    if cfg.respect_robots:
+        robots = spark.createDataFrame(robots_files([seed], lambda u: fetch_page(u, cfg.request_timeout, cfg.user_agent)), "host string, text string")
+    return materialise(crawl(spark, seed, http_fetcher(cfg.rate_limit / 8, timeout=cfg.request_timeout, agent=cfg.user_agent), robots=robots, agent=cfg.user_agent, sitemap=listed, max_pages=cfg.max_pages, max_depth=cfg.max_depth, include=cfg.include, exclude=cfg.exclude, checkpoint=cfg.checkpoint_file or None))
 
 
 def main(argv: list[str] | None = None) -> int:

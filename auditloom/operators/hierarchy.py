@@ -2,8 +2,10 @@
 
 Bottom-up: in each round the nodes without unfinished children are peeled and send their subtree
 sizes and heights to their parents; nodes that are never peeled lie on cycles. Top-down: in
-reverse peel order each node takes its parent's path and adds its own name. A round's join holds
-only the nodes peeled in it and those peeled later, which get few towards the roots.
+reverse peel order each node takes its parent's path and adds its own name. A tree of up to
+TREE_ROWS nodes, by count, is peeled whole in one task. A larger one is peeled in rounds over the
+cluster, where a round's join holds only the nodes peeled in it and those peeled later, which get few
+towards the roots.
 """
 
 from __future__ import annotations
@@ -11,8 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from auditloom.session import materialise
+from auditloom.session import materialise, ship
 
+#: Nodes of a tree that one task peels; larger trees are peeled in rounds.
+TREE_ROWS = 200_000
 #: Most rounds that run as one job. The first rounds, which hold most nodes, run in jobs of 1, 2 and 4 when
 #: peeling and one by one when paths are assigned, so few rows are carried along.
 ROUNDS_PER_JOB = 8
@@ -125,6 +129,45 @@ def _blocks(rounds: list[int]) -> list[list[int]]:
     return out
 
 
+_ROW = "tree string, name string, parent string, status string, root string, depth int, path string, names array<string>, size long, height int"
+
+
+def _peel_tree(key, part):
+    """All of one tree in a task: leaves are peeled and send sizes and heights up, reverse peel order assigns paths."""
+    import pyarrow as pa
+
+    names = part["name"].to_pylist()
+    at = {n: i for i, n in enumerate(names)}
+    up = [at.get(p) if p is not None else None for p in part["parent"].to_pylist()]
+    n = len(names)
+    pending, size, height = [0] * n, [1] * n, [0] * n
+    for p in up:
+        if p is not None:
+            pending[p] += 1
+    order = [i for i in range(n) if not pending[i]]
+    for i in order:  # grows while leaves are peeled
+        p = up[i]
+        if p is not None:
+            size[p] += size[i]
+            height[p] = max(height[p], height[i] + 1)
+            pending[p] -= 1
+            if not pending[p]:
+                order.append(p)
+    paths: list[list[str] | None] = [None] * n
+    status = ["cycle"] * n
+    for i in reversed(order):
+        above = paths[up[i]] if up[i] is not None else []
+        status[i] = "below_cycle" if above is None else "tree"
+        if above is not None:
+            paths[i] = [*above, names[i]]
+    cols = [
+        [key[0].as_py()] * n, names, [names[p] if p is not None else None for p in up], status, [p[0] if p else None for p in paths], [len(p) if p else None for p in paths],
+        ["/".join(p) if p else CYCLE for p in paths], paths, size, height,
+    ]
+    types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.int32()]
+    return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=[c.split()[0] for c in _ROW.split(", ")])
+
+
 def hierarchy(rows: DataFrame) -> DataFrame:
     """``(tree, name, parent, status, root, depth, path, names, size, height)``, one row per node.
 
@@ -133,7 +176,18 @@ def hierarchy(rows: DataFrame) -> DataFrame:
     and its descendants, for nodes on cycles only those already peeled below them. An empty input
     gives an empty result.
     """
-    nodes, cyclic, _ = peel(latest_definitions(rows))
+    defs = materialise(latest_definitions(rows))
+    large = materialise(defs.groupBy("tree").agg(F.count("*").alias("n")).where(F.col("n") > TREE_ROWS).select("tree"))
+    ship(defs.sparkSession)
+    some = not large.isEmpty()
+    own = defs.join(large, "tree", "left_anti") if some else defs
+    out = own.groupBy("tree").applyInArrow(_peel_tree, _ROW)
+    return out.unionByName(_in_rounds(defs.join(large, "tree", "left_semi"))) if some else out
+
+
+def _in_rounds(defs: DataFrame) -> DataFrame:
+    """The hierarchy of trees too large for one task."""
+    nodes, cyclic, _ = peel(defs)
     peeled = materialise(nodes, partition_by="round")
     rounds = sorted((x[0] for x in peeled.select("round").distinct().collect()), reverse=True)  # one small number a round
     carried = ["tree", "name", "parent", "size", "height"]

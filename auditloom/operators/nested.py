@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.session import map_arrow
+from auditloom.session import map_arrow, scratch
 
 EMITTED = "crawl_id long, site string, kind string, pos int, sub int, item_key string, pk string, parent_pk string, payload string"
 
@@ -138,9 +138,28 @@ def flatten(records: DataFrame, with_payload: bool = True) -> DataFrame:
     return map_arrow(src, _emit(with_payload), EMITTED)
 
 
-def write_tables(emitted: DataFrame, path: str) -> None:
-    """Write the tagged rows once, partitioned by tag."""
-    emitted.write.mode("overwrite").partitionBy("kind").parquet(path)
+def write_tables(emitted: DataFrame, path: str) -> DataFrame:
+    """Write the tagged rows once, partitioned by tag, and read them back."""
+    emitted.write.mode("overwrite").option("compression", "zstd").partitionBy("kind").parquet(path)
+    return emitted.sparkSession.read.schema(emitted.schema).parquet(path)
+
+
+_WRITTEN: dict[tuple, DataFrame] = {}
+
+
+def written_once(records: DataFrame) -> DataFrame:
+    """``flatten`` written by ``write_tables``, once an application for the same files; a table that changes gets new ones."""
+    spark = records.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = []
+    for f in sorted(records.inputFiles()):
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        s = p.getFileSystem(conf).getFileStatus(p)
+        at.append((f, s.getLen(), s.getModificationTime()))
+    key = (spark.sparkContext.applicationId, *at)
+    if not at or key not in _WRITTEN:
+        _WRITTEN[key] = write_tables(flatten(records), scratch(spark))
+    return _WRITTEN[key]
 
 
 def flat_table(emitted: DataFrame, kind: str) -> DataFrame:

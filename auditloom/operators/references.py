@@ -19,8 +19,10 @@ from auditloom.session import materialise, ship
 BITMAP_BITS = 32_768
 #: Keys meant for one range; hashing spreads them so evenly that no range comes near BITMAP_BITS.
 RANGE_KEYS = 16_384
-#: Shares into which the rows of a key are split for the last join, as one key may hold a third of all rows.
-SALTS = 8
+#: Linking rows of a key and month from which they are split for the last join, into shares of this size; a key may hold a third of all rows.
+SALT_ROWS = 100_000
+#: Hot keys that are broadcast; more of them are joined without a hint.
+HOT_KEYS = 100_000
 _URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^#]*)"
 
 
@@ -84,8 +86,8 @@ def orphan_references(pages: DataFrame, late_after: str = "24 hours") -> DataFra
         .select("key", "first_at", F.col("m.status_code").isin(404, 410).alias("deleted"))
     )
     keys = materialise(
-        used.select("key", "month", F.lit(None).cast("timestamp").alias("first_at"), F.lit(None).cast("boolean").alias("deleted"), F.lit(0).alias("side"))
-        .unionByName(defined.select("key", F.lit(None).cast("string").alias("month"), "first_at", F.coalesce("deleted", F.lit(False)).alias("deleted"), F.lit(1).alias("side")))
+        used.select("key", "month", F.lit(None).cast("timestamp").alias("first_at"), F.lit(None).cast("boolean").alias("deleted"), F.lit(0).alias("side"), "n")
+        .unionByName(defined.select("key", F.lit(None).cast("string").alias("month"), "first_at", F.coalesce("deleted", F.lit(False)).alias("deleted"), F.lit(1).alias("side"), F.lit(0).cast("long").alias("n")))
     )
     ranges = max(1, -(-keys.count() // RANGE_KEYS))
     coded = materialise(
@@ -132,13 +134,28 @@ def orphan_references(pages: DataFrame, late_after: str = "24 hours") -> DataFra
     # late ones are decided by the exact times of the few targets that are left
     timed = decoded.alias("d").join(
         parents.select("key", "first_at").alias("p"), (F.col("d.key") == F.col("p.key")) & (F.col("d.kind") == "late"), "left"
-    ).select("d.key", "d.month", "d.kind", "p.first_at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    l = links.withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int")).alias("l")
-    out = l.join(timed.alias("t"), (F.col("l.key") == F.col("t.key")) & (F.col("l.salt") == F.col("t.salt")) & F.col("l.month").eqNullSafe(F.col("t.month")))
+    ).select("d.key", "d.month", "d.kind", "p.first_at")
+    hot = materialise(keys.where(F.col("n") > SALT_ROWS).select("key", "month", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts")))
+    n_hot = hot.count()
+    if n_hot:
+        small = F.broadcast(hot) if n_hot <= HOT_KEYS else hot  # a checked size
+        links, timed = _salted(links, small), _salted(timed, small).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        links = links.withColumn("salt", F.pmod(F.xxhash64("seq"), F.col("salts")).cast("int"))
+    else:
+        links, timed = links.withColumn("salt", F.lit(0)), timed.withColumn("salt", F.lit(0))
+    l, t = links.alias("l"), timed.alias("t")
+    out = l.join(t, (F.col("l.key") == F.col("t.key")) & (F.col("l.salt") == F.col("t.salt")) & F.col("l.month").eqNullSafe(F.col("t.month")))
     late = F.coalesce(F.col("t.first_at") > F.col("l.fetched_at") + F.expr(f"INTERVAL {late_after}"), F.lit(False))
     return out.where((F.col("t.kind") != "late") | late).select("l.seq", "l.link", "t.kind", "l.site", "l.month")
 
 
+def _salted(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows with ``salts``, the number of shares of their key and month."""
+    r, h = rows.alias("r"), hot.alias("h")
+    joined = r.join(h, (F.col("r.key") == F.col("h.key")) & F.col("r.month").eqNullSafe(F.col("h.month")), "left")
+    return joined.select("r.*", F.coalesce(F.col("h.salts"), F.lit(1)).alias("salts"))
+
+
 @F.pandas_udf(T.BinaryType())
 def _bits_and(a: pd.Series, b: pd.Series) -> pd.Series:
     import numpy as np

@@ -1,7 +1,10 @@
 """What changed between consecutive full snapshots of a table.
 
-EXCEPT ALL in both directions drops the rows that both snapshots hold equally often; a full
-join of what is left, by key, labels additions, removals and changes.
+EXCEPT ALL in both directions, as one signed count: every row stands once for its snapshot as the later
+of a pair and once as the earlier; rows that both hold equally often cancel out, a positive rest is what
+the one direction leaves and a negative rest what the other does. Both residues then meet by key and
+label additions, removals and changes. All of it is partitioned once, by series and key, so neither the
+two directions nor the meeting of their residues shuffles again.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 def snapshot_chain(snapshots: DataFrame, series: str, snapshot_id: str, taken_at: str) -> DataFrame:
-    """Each snapshot with the one before it in its series, as ``(cur_id, prev_id)``.
+    """Each snapshot with the one before it in its series, as ``(cur_id, prev_id, _series)``.
 
     Order is ``taken_at``, then ``snapshot_id``; a null time sorts first. The first snapshot of
     a series has no predecessor and yields no row. Repeated rows of one snapshot count once.
@@ -26,7 +29,7 @@ def snapshot_chain(snapshots: DataFrame, series: str, snapshot_id: str, taken_at
         .agg(F.max("_at").alias("_at"))
     )
     w = Window.partitionBy("_series").orderBy(F.col("_at").asc_nulls_first(), F.col("cur_id"))
-    return one.select("cur_id", F.lag("cur_id").over(w).alias("prev_id")).where(F.col("prev_id").isNotNull())
+    return one.select("cur_id", F.lag("cur_id").over(w).alias("prev_id"), "_series").where(F.col("prev_id").isNotNull())
 
 
 def snapshot_diff(
@@ -45,16 +48,17 @@ def snapshot_diff(
     """``(snapshot id, *keys, change)`` for each key that differs from the snapshot before.
 
     ``added``/``removed``: the key occurs in one of the two only; ``changed``: in both, with
-    different multisets of ``values``. Rows of equal snapshot and ``position`` are one row, the
-    one with the lowest ``tie``; rows without a position are kept apart. Null keys are keys like
-    any other. Rows of unknown snapshots yield nothing. Empty inputs give an empty result.
+    different multisets of ``values``, which are compared by a 64-bit hash. Rows of equal snapshot and
+    ``position`` are one row, the one with the lowest ``tie``; rows without a position are kept apart.
+    Null keys are keys like any other. Rows of unknown snapshots yield nothing. Empty inputs give an
+    empty result.
     """
-    vals = list(values)
+    key_cols = [f"k{i}" for i in range(len(keys))]
+    # nulls and texts of any length are told apart: each value goes in with whether it is there
+    value = F.xxhash64(*[c for v in values.values() for c in (v.isNull(), v)])
     picked = rows.select(
-        F.col(row_snapshot_id).alias("_snap"),
-        F.col(position).alias("_pos"),
-        F.col(tie).alias("_tie"),
-        F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], *[values[v].alias(f"v{i}") for i, v in enumerate(vals)]).alias("_r"),
+        F.col(row_snapshot_id).alias("_snap"), F.col(position).alias("_pos"), F.col(tie).alias("_tie"),
+        F.struct(*[F.col(k).alias(c) for k, c in zip(keys, key_cols)], value.alias("v")).alias("_r"),
     ).where(F.col("_snap").isNotNull())
     once = (
         picked.withColumn("_solo", F.when(F.col("_pos").isNull(), F.col("_tie")))
@@ -63,35 +67,16 @@ def snapshot_diff(
         .select("_snap", "_m._r.*")
     )
     chain = snapshot_chain(snapshots, series, snapshot_id, taken_at)
-    later = once.join(chain.select(F.col("cur_id").alias("_snap"), F.col("cur_id").alias("pair")), "_snap").drop("_snap")
-    earlier = once.join(chain.select(F.col("prev_id").alias("_snap"), F.col("cur_id").alias("pair")), "_snap").drop("_snap")
-    key_cols = ["pair", *[f"k{i}" for i in range(len(keys))]]
-    plus = later.exceptAll(earlier).select(*key_cols).distinct().withColumn("_plus", F.lit(True))
-    minus = earlier.exceptAll(later).select(*key_cols).distinct().withColumn("_minus", F.lit(True))
-    left_over = _null_safe_join(plus, minus, key_cols, "full")
-    in_later = later.select(*key_cols).distinct().withColumn("_in_later", F.lit(True))
-    in_earlier = earlier.select(*key_cols).distinct().withColumn("_in_earlier", F.lit(True))
-    # a residue on one side only may still be a change of a key whose other rows all agree
-    seen = _null_safe_join(_null_safe_join(left_over, in_later, key_cols, "left"), in_earlier, key_cols, "left")
-    change = (
-        F.when(F.col("_in_earlier").isNull(), F.lit("added"))
-        .when(F.col("_in_later").isNull(), F.lit("removed"))
-        .otherwise(F.lit("changed"))
+    roles = chain.select(F.col("cur_id").alias("_snap"), F.struct(F.col("cur_id").alias("pair"), F.lit(1).alias("sign")).alias("role"), "_series").unionByName(
+        chain.select(F.col("prev_id").alias("_snap"), F.struct(F.col("cur_id").alias("pair"), F.lit(-1).alias("sign")).alias("role"), "_series")
     )
-    return seen.select(
-        F.col("pair").alias(snapshot_id), *[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], change.alias("change")
-    )
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
-    l, r = left.alias("l"), right.alias("r")
-    cond = None
-    for c in on:
-        one = F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-        cond = one if cond is None else cond & one
-    key = [F.coalesce(F.col(f"l.{c}"), F.col(f"r.{c}")).alias(c) for c in on]
-    rest = [F.col(f"l.{c}") for c in left.columns if c not in on] + [F.col(f"r.{c}") for c in right.columns if c not in on]
-    return l.join(r, cond, how).select(*key, *rest)
+    roles = roles.groupBy("_snap", "_series").agg(F.collect_list("role").alias("roles"))  # two at most
+    at = once.join(roles, "_snap").repartition("_series", *key_cols)
+    signed = at.select("_series", *key_cols, "v", F.explode("roles").alias("role")).select("_series", *key_cols, "v", "role.pair", "role.sign")
+    rest = signed.groupBy("_series", *key_cols, "pair", "v").agg(F.sum("sign").alias("net"), F.max("sign").alias("later"), F.min("sign").alias("earlier"))
+    by_key = rest.groupBy("_series", *key_cols, "pair").agg(F.max(F.abs("net")).alias("residue"), F.max("later").alias("later"), F.min("earlier").alias("earlier")).where("residue > 0")
+    change = F.when(F.col("earlier") > 0, F.lit("added")).when(F.col("later") < 0, F.lit("removed")).otherwise(F.lit("changed"))
+    return by_key.select(F.col("pair").alias(snapshot_id), *[F.col(c).alias(k) for c, k in zip(key_cols, keys)], change.alias("change"))
 
 
 def issue_changes(baselines: DataFrame, baseline_issues: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ class Registry:
             "seo": lambda p: links.union_issues(links.noindex_in_sitemap(p), links.duplicate_titles(p.select("seq", "url", F.col("d.title").alias("title")))),
             "links": lambda p: links.union_issues(links.broken_internal(p), links.orphan_pages(p), links.deep_pages(p)),
             "security": links.missing_security_txt,
-            "hreflang": lambda p: links.hreflang_site(p.where("d IS NOT NULL").select("url", F.col("d.hreflang").alias("hreflang"))),
+            "hreflang": lambda p: links.hreflang_site(p.where("d IS NOT NULL").select("seq", "url", F.col("d.hreflang").alias("hreflang"))),
         }
 
     def register_page(self, name: str, check: Callable[[], Column]) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.checks import health, media, security, seo
-from auditloom.functions.columns import host
+from auditloom.functions.columns import authority, host
 from auditloom.functions.features import with_features
 from auditloom.model import ISSUE_COLS
 from auditloom.operators.baseline import baseline_diff
@@ -230,11 +230,12 @@ def frontier_level(spark, d):
 
 
 def offline_crawl(spark, d):
-    """A breadth-first crawl over the stored pages from the first page."""
+    """A breadth-first crawl over the stored pages from the page with the most links, to the default depth and as the robots rules allow."""
     p = _pages(spark, d).where("url IS NOT NULL")
     p = p.join(p.groupBy("url").agg(F.min("seq").alias("seq")), ["url", "seq"], "left_semi")
     seed = _seed(p)
-    return crawl.crawl(spark, seed, crawl.table_fetcher(p), max_pages=None, max_depth=None).select("url", "depth")
+    files = p.select(F.lower(authority(F.col("url"))).alias("host")).distinct().withColumn("text", F.lit(ROBOTS))
+    return crawl.crawl(spark, seed, crawl.table_fetcher(p), max_pages=None, robots=files).select("url", "depth")
 
 
 def body_links(spark, d):
@@ -271,6 +272,70 @@ def speed_issues(spark, d):
     return links.union_issues(_explode(s, media.lighthouse()), summary.speed_issues(s)).groupBy("check_name", "severity").agg(F.count("*").alias("n"))
 
 
+#: Checks that the regular markup of the stored bodies lets SQL decide.
+DOM_CHECKS = [
+    "seo/missing-meta-description", "seo/meta-description-length", "seo/missing-h1", "seo/multiple-h1", "seo/missing-canonical", "seo/multiple-canonical", "seo/missing-lang", "seo/missing-og-title", "seo/missing-og-description",
+    "seo/missing-og-image", "seo/missing-twitter-card", "seo/missing-viewport", "performance/large-html", "performance/no-compression", "performance/render-blocking-script", "performance/excessive-css",
+    "performance/render-blocking-css", "performance/missing-resource-hints", "performance/missing-cache-headers", "performance/no-http2", "security/missing-sri", "accessibility/missing-skip-nav",
+    "accessibility/heading-hierarchy", "accessibility/missing-table-header", "accessibility/missing-landmarks", "images/legacy-format", "images/missing-lazy-loading", "images/missing-dimensions", "images/missing-responsive",
+    "links/generic-anchor-text", "links/excessive-links", "structured-data/missing-json-ld", "content/no-paragraphs", "content/heading-hierarchy-skip",
+]
+
+
+def dom_issues(spark, d):
+    """Every issue of these checks, row by row."""
+    f = A.page_issues(with_features(_pages(spark, d)), {**A.PAGE_CHECKS, **A.EXTRA_PAGE_CHECKS})
+    return f.where(F.col("check_name").isin(*DOM_CHECKS)).select("check_name", "severity", "message", "url")
+
+
+def lighthouse_issues(spark, d):
+    return _explode(_scores(spark, d), media.lighthouse()).select("check_name", "severity", "message", "url")
+
+
+def noindex_listed(spark, d):
+    return links.noindex_in_sitemap(with_features(_pages(spark, d).select("url", "content_type", "body", "in_sitemap"))).select("check_name", "url")
+
+
+def target_sources(spark, d):
+    """External targets with the pages that name them, as the report shows them."""
+    return links.external_targets(_pages(spark, d)).select("url", "block", F.array_join("sources", " ").alias("sources"))
+
+
+def redirect_rows(spark, d):
+    return redirects.redirect_csv(_pages(spark, d)).select("from", "to", "chain", F.col("hops").cast("long").alias("hops"), "linked_by")
+
+
+def _sink(kind):
+    def run(spark, d):
+        """All issues written by Spark in this form and read back."""
+        from auditloom.report.writers import write_issues
+
+        at = scratch(spark)
+        write_issues(_issues(spark, d), at, kind)
+        r = spark.read.schema(", ".join(f"{c} string" for c in ISSUE_COLS))
+        back = r.option("header", True).option("escape", '"').csv(at) if kind == "csv" else r.json(at) if kind == "jsonl" else r.parquet(at)
+        return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ISSUE_COLS])
+
+    run.__name__ = f"sink_{kind}"
+    return run
+
+
+def stored_cache(spark, d):
+    """The crawl cache of all pages, saved and loaded again."""
+    at = scratch(spark)
+    crawl.save_cache(crawl.cache_rows(_pages(spark, d)), at)
+    return crawl.load_cache(spark, at)
+
+
+def stored_baseline(spark, d):
+    """All issues saved as a baseline, loaded again, and compared with themselves: everything exists already."""
+    from auditloom.operators.baseline import load_baseline, save_baseline
+
+    at = scratch(spark)
+    save_baseline(_issues(spark, d), at, "https://site.example")
+    return baseline_diff(_issues(spark, d), load_baseline(spark, at)).groupBy("status", "check_name").agg(F.count("*").alias("n"))
+
+
 def changed_since_cache(spark, d):
     """Of pages fetched again, those whose content differs from the first fetch."""
     p = _pages(spark, d).where("url IS NOT NULL")
@@ -296,7 +361,7 @@ QUERIES = {f.__name__: f for f in (
     orphan_pages, deep_pages, security_txt, external_pairs, external_targets, crawl_budget, link_graph_edges, pagerank, low_pagerank, high_outgoing, graph_size, redirect_map,
     redirect_issues, classify_pages, tech_detect, exact_duplicate_classes, near_duplicate_pairs, thin_content, issue_summary, issue_categories, health_score, category_scores,
     top_urls, filtered_issues, grouped_issues, first_last_diff, cel_rules, robots_decision, frontier_level, offline_crawl, body_links, speed_summary, slowest_pages, speed_issues,
-    changed_since_cache, stream_page_issues,
+    changed_since_cache, stream_page_issues, dom_issues, lighthouse_issues, noindex_listed, target_sources, redirect_rows, _sink("csv"), _sink("jsonl"), _sink("parquet"), stored_cache, stored_baseline,
 )}
 
 _PATH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1)"
@@ -330,6 +395,21 @@ _ENDS = """WITH ends AS (SELECT seed_url, arg_min(baseline_id, (created_at, base
 o AS (SELECT check_name, url, count(*) AS n FROM baseline_issues WHERE baseline_id IN (SELECT a FROM ends WHERE a <> z) GROUP BY ALL),
 c AS (SELECT check_name, url, count(*) AS n FROM baseline_issues WHERE baseline_id IN (SELECT z FROM ends WHERE a <> z) GROUP BY ALL),
 j AS (SELECT coalesce(c.check_name, o.check_name) AS check_name, coalesce(c.url, o.url) AS url, coalesce(c.n, 0) AS n, coalesce(o.n, 0) AS m FROM c FULL JOIN o ON c.check_name = o.check_name AND c.url = o.url)"""
+
+
+def _crawl_sql(depth: int) -> str:
+    """Levels of a breadth-first crawl one by one; what the robots rules disallow is seen but not fetched."""
+    target = r"regexp_extract(t.url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^#]*)', 1)"
+    parts = ["""WITH s AS (SELECT arg_min(url, (-coalesce(len(links), 0), seq)) AS seed FROM pages WHERE url IS NOT NULL),
+        p AS (SELECT url, arg_min(coalesce(links, []), seq) AS links FROM pages WHERE url IS NOT NULL GROUP BY url),
+        l AS MATERIALIZED (SELECT url AS src, unnest(links) AS url FROM p), t0 AS (SELECT seed AS url FROM s)"""]
+    for k in range(depth + 1):
+        parts.append(rf"g{k} AS MATERIALIZED (SELECT p.url FROM t{k} AS t JOIN p ON p.url = t.url WHERE regexp_matches({target}, '^/.*\?id=1') OR NOT (regexp_matches({target}, '^/.*\?id=') OR starts_with({target}, '/info/')))")
+        seen = " UNION ALL ".join(f"SELECT url FROM t{i}" for i in range(k + 1))
+        parts.append(f"t{k + 1} AS MATERIALIZED (SELECT DISTINCT l.url FROM g{k} JOIN l ON l.src = g{k}.url, s WHERE {_AUTH.format('l.url')} = {_AUTH.format('s.seed')} AND l.url NOT IN ({seen}))")
+    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT url, {k}::INTEGER AS depth FROM g{k}" for k in range(depth + 1))
+
+
 _CHAIN = "coalesce(redirect_chain, [])"
 _W = "WHEN lower(severity) = '{}' THEN {}"
 SQL = {
@@ -443,11 +523,7 @@ SQL = {
     "low_pagerank": _pagerank_sql(
         "SELECT 'links/low-internal-pagerank' AS check_name, url FROM RANKS WHERE rank <= (SELECT rank FROM (SELECT rank, row_number() OVER (ORDER BY rank) AS rn FROM RANKS) WHERE rn = (SELECT CAST(floor(0.1 * count(*)) AS BIGINT) + 1 FROM RANKS))"
     ),
-    "offline_crawl": f"""WITH RECURSIVE s AS (SELECT arg_min(url, (-coalesce(len(links), 0), seq)) AS seed FROM pages WHERE url IS NOT NULL),
-        p AS (SELECT url, arg_min(coalesce(links, []), seq) AS links FROM pages WHERE url IS NOT NULL GROUP BY url),
-        b AS (SELECT seed AS url, 0 AS depth FROM s UNION SELECT l.dst, l.depth + 1 FROM (SELECT unnest(p.links) AS dst, b.depth FROM b JOIN p ON p.url = b.url WHERE b.depth < 4) l, s
-            WHERE {_AUTH.format('l.dst')} = {_AUTH.format('s.seed')})
-        SELECT b.url, CAST(min(depth) AS INTEGER) AS depth FROM b JOIN p ON p.url = b.url GROUP BY b.url""",
+    "offline_crawl": _crawl_sql(5),
     "changed_since_cache": """WITH f AS (SELECT seq, url, fetched_at, coalesce(headers['etag'][1], '') AS e, coalesce(body, '') AS b, min(seq) OVER (PARTITION BY url) AS s0 FROM pages WHERE url IS NOT NULL),
         o AS (SELECT url, e, b FROM f WHERE seq = s0),
         n AS (SELECT url, arg_max(e, (fetched_at, seq)) AS e, arg_max(b, (fetched_at, seq)) AS b FROM f WHERE seq <> s0 GROUP BY url),
@@ -458,3 +534,65 @@ SQL = {
         AND {_AUTH.format('dst')} = (SELECT {_AUTH.format('arg_min(url, (-coalesce(len(links), 0), seq))')} FROM pages WHERE url IS NOT NULL) GROUP BY dst""",
 }
 SQL["stream_page_issues"] = f"SELECT check_name, count(*) AS n FROM ({SQL['health_issues']}) GROUP BY 1"
+_TEXT = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')"
+_IMG_EXT = r"lower(regexp_extract(regexp_replace(i.src, '[?#].*$', ''), '\.([A-Za-z]+)$', 1))"
+SQL["dom_issues"] = f"""WITH p AS (SELECT url, coalesce(body, '') AS b, headers FROM pages WHERE lower(content_type) LIKE '%text/html%'),
+    h AS (SELECT url, b, headers, CASE WHEN contains(b, '</head>') THEN split_part(b, '</head>', 1) ELSE '' END AS head, {_TEXT.format("regexp_extract(b, '<meta name=.description. content=.([^\"]*).', 1)")} AS descr,
+        len(regexp_extract_all(b, '<h1[ >]')) AS h1, regexp_extract_all(b, '<h([1-6])[ >]', 1) AS levels, regexp_extract_all(b, '<img src="([^"]*)"', 1) AS imgs, regexp_extract_all(b, '<a href="([^"]*)"', 1) AS anchors FROM p),
+    css AS (SELECT url, b, unnest(regexp_extract_all(head, '<link rel="stylesheet" href="([^"]*)"', 1)) AS src FROM h),
+    js AS (SELECT url, b, unnest(regexp_extract_all(head, '<script src="([^"]*)"', 1)) AS src FROM h),
+    i AS (SELECT url, unnest(imgs) AS src, generate_subscripts(imgs, 1) AS n FROM h),
+    k AS (SELECT url, levels[n] AS x, levels[n + 1] AS y FROM (SELECT url, levels, unnest(range(1, len(levels))) AS n FROM h) WHERE CAST(levels[n + 1] AS INTEGER) > CAST(levels[n] AS INTEGER) + 1),
+    skips AS (SELECT url, 'heading level skips from h' || x || ' to h' || y AS message FROM k),
+    said AS (SELECT url, lower(trim(unnest(regexp_extract_all(b, '<a href="[^"]*">([^<]*)</a>', 1)))) AS t FROM h)
+    SELECT 'seo/missing-meta-description' AS check_name, 'warning' AS severity, 'page is missing a meta description' AS message, url FROM h WHERE descr = ''
+    UNION ALL SELECT 'seo/meta-description-length', 'info', 'meta description length is ' || strlen(descr) || ' characters, expected 70-155', url FROM h WHERE descr <> '' AND strlen(descr) NOT BETWEEN 70 AND 155
+    UNION ALL SELECT 'seo/missing-h1', 'warning', 'page is missing an <h1> tag', url FROM h WHERE h1 = 0
+    UNION ALL SELECT 'seo/multiple-h1', 'warning', 'page has ' || h1 || ' <h1> tags, expected 1', url FROM h WHERE h1 > 1
+    UNION ALL SELECT 'seo/missing-canonical', 'warning', 'page is missing a canonical link', url FROM h WHERE NOT contains(b, 'rel="canonical"')
+    UNION ALL SELECT 'seo/missing-lang', 'warning', 'page is missing a lang attribute on the <html> tag', url FROM h WHERE NOT regexp_matches(b, '<html[^>]* lang=')
+    UNION ALL SELECT 'seo/missing-og-' || o, 'info', 'page is missing an og:' || o || ' meta tag', url FROM h, (SELECT unnest(['title', 'description', 'image']) AS o) WHERE NOT contains(b, 'property="og:' || o || '"')
+    UNION ALL SELECT 'seo/missing-twitter-card', 'info', 'page is missing a twitter:card meta tag', url FROM h WHERE NOT contains(b, 'twitter:card')
+    UNION ALL SELECT 'seo/missing-viewport', 'critical', 'page is missing a viewport meta tag', url FROM h WHERE NOT contains(b, 'name="viewport"')
+    UNION ALL SELECT 'performance/large-html', 'warning', 'HTML size is ' || strlen(b) || ' bytes (' || printf('%.0f', strlen(b) / 1024.0) || ' KB), maximum recommended is 102400 bytes', url FROM h WHERE strlen(b) > 102400
+    UNION ALL SELECT 'performance/no-compression', 'warning', 'HTML response is not compressed (missing gzip or br Content-Encoding)', url FROM h WHERE NOT regexp_matches({_H.format('content-encoding')}, 'gzip|br')
+    UNION ALL SELECT 'performance/render-blocking-script', 'warning', 'render-blocking script in <head>: ' || src, url FROM js
+    UNION ALL SELECT 'performance/excessive-css', 'info', 'page has ' || count(*) || ' stylesheets in <head>, maximum recommended is 3', url FROM css GROUP BY url, b HAVING count(*) > 3
+    UNION ALL SELECT 'performance/render-blocking-css', 'warning', 'render-blocking stylesheet in <head>: ' || src, url FROM css
+    UNION ALL SELECT 'performance/missing-resource-hints', 'info', 'page has no <link rel="preconnect"> or <link rel="dns-prefetch"> resource hints', url FROM h WHERE NOT regexp_matches(b, 'rel=.(preconnect|dns-prefetch)')
+    UNION ALL SELECT 'performance/missing-cache-headers', 'warning', 'response has no Cache-Control header', url FROM h WHERE {_H.format('cache-control')} = ''
+    UNION ALL SELECT 'performance/no-http2', 'info', 'no Alt-Svc header indicating HTTP/2 or HTTP/3 support detected', url FROM h WHERE NOT regexp_matches({_H.format('alt-svc')}, 'h2|h3')
+    UNION ALL SELECT 'security/missing-sri', 'info', 'external script "' || src || '" is missing integrity attribute', js.url FROM js WHERE {_AUTH.format('src')} <> {_AUTH.format('js.url')} AND {_AUTH.format('src')} <> ''
+    UNION ALL SELECT 'security/missing-sri', 'info', 'external stylesheet "' || src || '" is missing integrity attribute', css.url FROM css WHERE {_AUTH.format('src')} <> {_AUTH.format('css.url')} AND {_AUTH.format('src')} <> ''
+    UNION ALL SELECT 'accessibility/missing-skip-nav', 'info', 'page is missing a skip navigation link', url FROM h WHERE len(list_filter(anchors[1:3], lambda a: starts_with(a, '#') AND strlen(a) > 1)) = 0
+    UNION ALL SELECT 'accessibility/heading-hierarchy', 'warning', message, url FROM skips
+    UNION ALL SELECT 'accessibility/missing-table-header', 'info', 'table element is missing header cells (<th>)', url FROM (SELECT url, unnest(regexp_extract_all(b, '<table[ >]')) FROM h WHERE NOT contains(b, '<th>'))
+    UNION ALL SELECT 'accessibility/missing-landmarks', 'warning', 'page has no ARIA landmark regions', url FROM h WHERE NOT regexp_matches(b, '<(main|nav|header|footer)[ >]')
+    UNION ALL SELECT 'images/legacy-format', 'info', 'image uses legacy format (' || {_IMG_EXT} || '), consider WebP or AVIF: ' || i.src, url FROM i WHERE {_IMG_EXT} IN ('jpg', 'jpeg', 'gif', 'bmp', 'tiff')
+    UNION ALL SELECT 'images/missing-lazy-loading', 'info', 'image is missing loading="lazy" attribute: ' || src, url FROM i WHERE n > 3
+    UNION ALL SELECT 'images/missing-dimensions', 'warning', 'image is missing width and height attributes: ' || src, url FROM i
+    UNION ALL SELECT 'images/missing-responsive', 'info', 'image is missing srcset and sizes attributes: ' || src, url FROM i WHERE starts_with(src, 'http')
+    UNION ALL SELECT 'links/generic-anchor-text', 'info', 'link has generic anchor text "' || t || '"', url FROM said WHERE t IN ('click here', 'read more', 'learn more', 'here', 'more', 'link', 'this')
+    UNION ALL SELECT 'links/excessive-links', 'info', 'page has ' || len(anchors) || ' links, which exceeds the recommended maximum of 100', url FROM h WHERE len(anchors) > 100
+    UNION ALL SELECT 'structured-data/missing-json-ld', 'info', 'page has no JSON-LD structured data', url FROM h WHERE NOT contains(b, 'application/ld+json')
+    UNION ALL SELECT 'content/no-paragraphs', 'info', 'page contains no <p> tags', url FROM h WHERE b <> '' AND NOT regexp_matches(b, '<p[ >]')
+    UNION ALL SELECT 'content/heading-hierarchy-skip', 'warning', message, url FROM skips WHERE true"""
+SQL["lighthouse_issues"] = D._FLAT + f""", t AS ({D._table_sql('lighthouse')})
+    SELECT 'lighthouse/performance' AS check_name, CASE WHEN performance_score < 50 THEN 'critical' ELSE 'warning' END AS severity,
+        'performance score ' || printf('%.0f', performance_score) || ' is below ' || CASE WHEN performance_score < 50 THEN '50' ELSE '90' END AS message, url FROM t WHERE performance_score < 90
+    UNION ALL SELECT 'lighthouse/accessibility', 'warning', 'accessibility score ' || printf('%.0f', accessibility_score) || ' is below 90', url FROM t WHERE accessibility_score < 90
+    UNION ALL SELECT 'lighthouse/seo', 'warning', 'seo score ' || printf('%.0f', seo_score) || ' is below 90', url FROM t WHERE seo_score < 90"""
+SQL["noindex_listed"] = "SELECT 'seo/noindex-in-sitemap' AS check_name, url FROM pages WHERE in_sitemap AND lower(content_type) LIKE '%text/html%' AND regexp_matches(body, '<meta name=.robots. content=.[^>]*noindex')"
+SQL["target_sources"] = f"""WITH e AS (SELECT seq, url AS src, unnest(list_concat(coalesce(links, []), coalesce(assets, []))) AS url FROM pages),
+    o AS (SELECT e.url, src, min(seq) AS seq FROM e WHERE {_HOST.format('e.url')} <> '' AND {_HOST.format('e.url')} <> (SELECT {_HOST.format('arg_min(url, seq)')} FROM pages) GROUP BY ALL)
+    SELECT url, 0::INTEGER AS block, string_agg(src, ' ' ORDER BY seq, src) AS sources FROM o GROUP BY url"""
+SQL["redirect_rows"] = """WITH r AS (SELECT redirect_chain[1] AS f, url AS t, array_to_string(list_append(redirect_chain, url), ' -> ') AS chain, len(redirect_chain) AS hops FROM pages WHERE len(redirect_chain) > 0),
+    l AS (SELECT DISTINCT src, f FROM (SELECT url AS src, unnest(links) AS f FROM pages)), b AS (SELECT f, string_agg(src, ' ' ORDER BY src) AS linked FROM l GROUP BY f)
+    SELECT r.f AS "from", t AS "to", chain, hops, coalesce(linked, '') AS linked_by FROM r LEFT JOIN b ON b.f = r.f"""
+_STORED = "SELECT check_name, coalesce(severity, '') AS severity, coalesce(message, '') AS message, coalesce(url, '') AS url, coalesce(detail, '') AS detail FROM baseline_issues"
+SQL["sink_jsonl"] = SQL["sink_parquet"] = _STORED
+_CELL = "CASE WHEN regexp_matches({0}, '^[=+@\\t\\r-]') THEN chr(9) || {0} ELSE {0} END AS {0}"
+SQL["sink_csv"] = f"SELECT {', '.join(_CELL.format(c) for c in ISSUE_COLS)} FROM ({_STORED})"
+SQL["stored_cache"] = """SELECT url, arg_max(coalesce(headers['last-modified'][1], ''), (fetched_at, seq)) AS last_modified, arg_max(coalesce(headers['etag'][1], ''), (fetched_at, seq)) AS etag,
+    arg_max(sha256(coalesce(body, '')), (fetched_at, seq)) AS content_hash FROM pages WHERE url IS NOT NULL GROUP BY url"""
+SQL["stored_baseline"] = "SELECT 'existing' AS status, check_name, count(*) AS n FROM baseline_issues GROUP BY check_name"

@@ -28,14 +28,18 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     return H.descendants(h).select(F.col("tree").alias("registry"), "ancestor", "descendant", F.col("distance").cast("long").alias("distance"))
 
 
+def _emitted(spark: SparkSession, d: str) -> DataFrame:
+    """The tagged rows with their payloads, written once for all queries over the same files, partitioned by tag."""
+    return N.written_once(table(spark, d, "crawl_results"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return N.flatten(table(spark, d, "crawl_results"), with_payload=False).select("crawl_id", "kind", "pos", "sub", "item_key").distinct()
+    return _emitted(spark, d).select("crawl_id", "kind", "pos", "sub", "item_key").distinct()
 
 
 def _p5_table(kind: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        t = N.flat_table(N.flatten(table(spark, d, "crawl_results")), kind)
-        return t.drop("site")
+        return N.flat_table(_emitted(spark, d), kind).drop("site")
 
     return run
 

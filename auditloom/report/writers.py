@@ -244,7 +244,7 @@ def write_issues(issues: DataFrame, folder: str, kind: str = "csv") -> None:
     """Issues of any number as a folder of files."""
     if kind == "csv":
         safe = [F.when(F.rlike(c, F.lit("^[=+\\-@\\t\\r]")), F.concat(F.lit("\t"), F.col(c))).otherwise(F.col(c)).alias(c) for c in ISSUE_COLS]
-        issues.select(*safe).write.mode("overwrite").option("header", True).csv(folder)
+        issues.select(*safe).write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("escape", '"').csv(folder)
     elif kind == "jsonl":
         issues.select(*ISSUE_COLS).write.mode("overwrite").json(folder)
     elif kind == "parquet":

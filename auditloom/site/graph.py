@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.columns import authority
 from auditloom.model import INFO, issue
-from auditloom.session import materialise, release
+from auditloom.session import bucketed, materialise, release
 from auditloom.site.links import as_issues, link_rows
 
 DAMPING, ITERATIONS, HIGH_OUT = 0.85, 20, 100
@@ -29,7 +29,8 @@ def graph(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
     """``(url, rank)``; rank of pages without outgoing links is spread evenly.
 
-    A round is one job with one pass over the edges. What pages receive is written and its sum counted
+    The edges are written once in buckets of their source, so no round shuffles them: a round is one job that
+    takes the ranks to the edges and sums what each page gets, within the buckets first. What pages receive is written and its sum counted
     while writing; the rest of the total rank of one lay on pages without links, so their share is a
     number in the next round's expression, not a second branch of its plan.
     """
@@ -37,8 +38,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, d
     n = nodes.count()
     if n == 0:
         return nodes.withColumn("rank", F.lit(0.0))
+    edges = materialise(edges)
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
-    weighted = materialise(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("w")))
+    weighted = bucketed(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("w")), "src", edges.count())
     state, even = nodes.withColumn("got", F.lit(0.0)), 1.0 / n
     for _ in range(iterations):
         ranks = state.select(F.col("url").alias("src"), (F.lit(even) + F.lit(damping) * F.col("got")).alias("rank"))
@@ -49,6 +51,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, d
         even = (1 - damping) / n + damping * (1.0 - total.get["got"]) / n
         release(state)
         state = now
+    release(weighted, edges)
     return state.select("url", (F.lit(even) + F.lit(damping) * F.col("got")).alias("rank"))
 
 

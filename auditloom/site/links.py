@@ -55,12 +55,13 @@ def deep_pages(pages: DataFrame, most: int = 4) -> DataFrame:
 
 
 def hreflang_site(entries: DataFrame) -> DataFrame:
-    """``entries(url, hreflang array<struct<lang,href>>)``: targets that don't link back, and pages that don't name themselves.
+    """``entries(seq, url, hreflang array<struct<lang,href>>)``: targets that don't link back, and pages that don't name themselves.
 
-    Targets are looked up without their trailing slash among page URLs as written.
+    Targets are looked up without their trailing slash among page URLs as written. Of several pages of a
+    URL with such links the last one counts.
     """
     strip = lambda c: F.regexp_replace(c, "/+$", "")
-    known = entries.where(F.size("hreflang") > 0).dropDuplicates(["url"])
+    known = entries.where(F.size("hreflang") > 0).groupBy("url").agg(F.max_by("hreflang", "seq").alias("hreflang"))
     e = known.select(F.col("url").alias("src"), F.explode("hreflang").alias("h")).select("src", F.col("h.href").alias("href"))
     e = e.withColumn("to", strip(F.col("href")))
     back = e.select(F.col("src").alias("b_src"), F.col("to").alias("b_to")).distinct()
@@ -80,12 +81,24 @@ def missing_security_txt(pages: DataFrame) -> DataFrame:
     return as_issues(g.where("NOT has"), issue("security/missing-security-txt", INFO, "site does not have a /.well-known/security.txt file", url=F.coalesce("first", F.lit(""))))
 
 
+#: Linking pages named in one row.
+SOURCES = 1000
+
+
+def _blocks(pairs: DataFrame, key: list[str], item: str, most: int = SOURCES) -> DataFrame:
+    """The pairs with a block number, such that a block of a key has about ``most`` items at most."""
+    n = pairs.groupBy(*key).agg(F.ceil(F.count("*") / most).cast("int").alias("n_blocks"))
+    return pairs.join(n, key).withColumn("block", F.pmod(F.xxhash64(item), F.col("n_blocks")).cast("int")).drop("n_blocks")
+
+
 def external_targets(pages: DataFrame) -> DataFrame:
-    """``(url, sources)`` of links and assets outside the first page's host; the distinct linking pages in page order.
+    """``(url, block, sources)`` of links and assets outside the first page's host; the distinct linking pages in page order.
 
-    The number of sources kept per target is what the report shows; the pairs themselves are ``external_pairs``.
+    A target has one row, but for targets of more than SOURCES linking pages, which have one a block of
+    them, so no row grows with the crawl. The pairs themselves are ``external_pairs``.
     """
-    return external_pairs(pages).groupBy("url").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "src"))), lambda x: x["src"]).alias("sources"))
+    p = _blocks(external_pairs(pages), ["url"], "src")
+    return p.groupBy("url", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "src"))), lambda x: x["src"]).alias("sources"))
 
 
 def external_pairs(pages: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.model import INFO, WARNING, issue
-from auditloom.site.links import as_issues, link_rows, union_issues
+from auditloom.site.links import _blocks, as_issues, link_rows, union_issues
 
 
 def redirect_map(pages: DataFrame) -> DataFrame:
@@ -35,10 +35,10 @@ def redirect_issues(pages: DataFrame) -> DataFrame:
 
 
 def redirect_csv(pages: DataFrame) -> DataFrame:
-    """Rows of the redirect file, ordered by hops descending, then source."""
-    by = linked_by(pages).groupBy("from", "to").agg(F.array_sort(F.collect_set("src")).alias("linked"))
+    """Rows of the redirect file, ordered by hops descending, then source; one more row for each further SOURCES linking pages."""
+    by = _blocks(linked_by(pages), ["from", "to"], "src").groupBy("from", "to", "block").agg(F.array_sort(F.collect_set("src")).alias("linked"))
     return (
         redirect_map(pages).join(by, ["from", "to"], "left")
-        .orderBy(F.col("hops").desc(), "from")
+        .orderBy(F.col("hops").desc(), "from", "block")
         .select("from", "to", F.array_join("chain", " -> ").alias("chain"), "hops", F.coalesce(F.array_join("linked", " "), F.lit("")).alias("linked_by"))
     )

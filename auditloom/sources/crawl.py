@@ -20,6 +20,7 @@ from pyspark.sql.types import _parse_datatype_string
 from auditloom.functions.columns import authority, glob_regex, path
 from auditloom.model import PAGES
 from auditloom.session import map_arrow, materialise
+from auditloom.sources.robots import decide, robots_rules
 
 MAX_BODY, MAX_REDIRECTS, URL_FILE_LINES, SITEMAP_LEVELS = 10 * 1024 * 1024, 10, 10_000, 2
 
@@ -141,9 +142,11 @@ def _linked(got: DataFrame) -> DataFrame:
     return got.join(first, "seq").select((F.col("depth") + 1).alias("depth"), "first", F.posexplode("links").alias("k", "url")).select("url", "depth", (F.col("first") + F.col("k")).alias("seq"))
 
 
-def crawl(spark: SparkSession, seed: str, fetch_level: Callable[[DataFrame], DataFrame], *, sitemap: list[str] = (), max_pages: int | None = 500, max_depth: int | None = 5, include: list[str] = (), exclude: list[str] = (), checkpoint: str | None = None, resume: str | None = None) -> DataFrame:
+def crawl(spark: SparkSession, seed: str, fetch_level: Callable[[DataFrame], DataFrame], *, sitemap: list[str] = (), max_pages: int | None = 500, max_depth: int | None = 5, include: list[str] = (), exclude: list[str] = (), checkpoint: str | None = None, resume: str | None = None, robots: DataFrame | None = None, agent: str = "auditloom/1.0") -> DataFrame:
     """Breadth-first crawl, a level a round. ``fetch_level`` turns ``(url, depth, seq)`` into pages.
 
+    ``robots(host, text)`` holds the robots files: addresses they disallow count as seen and towards the
+    cap, but are not fetched. Hosts without a row allow everything.
     Sitemap URLs go first with depth 1, then the seed with depth 0; the first entry of a URL counts.
     With ``resume``, the crawl goes on from a snapshot of its frontier and returns the pages still to fetch.
     """
@@ -155,13 +158,14 @@ def crawl(spark: SparkSession, seed: str, fetch_level: Callable[[DataFrame], Dat
         seen = materialise(state.where("state = 'seen'").select("url", "depth", "seq"))
         found = materialise(state.where("state = 'queued'").select("url", "depth", "seq"))
     listed = spark.createDataFrame([(u,) for u in sitemap], "url string").distinct()
+    rules = materialise(robots_rules(robots, agent)) if robots is not None else None
     levels: list[DataFrame] = []
     while True:
         tasks = materialise(add_to_frontier(seen, found, seed, max_pages, max_depth, include, exclude))
         if tasks.isEmpty():
             break
         seen = materialise(seen.unionByName(tasks))
-        got = materialise(fetch_level(tasks))
+        got = materialise(fetch_level(tasks if rules is None else tasks.join(decide(tasks, rules).where("allowed"), "url", "left_semi")))
         levels.append(got)
         if checkpoint:
             save_frontier(seen, tasks, checkpoint, seed)
@@ -172,6 +176,19 @@ def crawl(spark: SparkSession, seed: str, fetch_level: Callable[[DataFrame], Dat
     return out.drop("in_sitemap").join(F.broadcast(listed.withColumn("in_sitemap", F.lit(True))) if len(sitemap) <= 50_000 else listed.withColumn("in_sitemap", F.lit(True)), "url", "left").withColumn("in_sitemap", F.coalesce("in_sitemap", F.lit(False)))
 
 
+def robots_files(seeds: list[str], fetch: Callable[[str], dict]) -> list[tuple[str, str]]:
+    """``(host, text)`` of the robots files of the seeds' hosts, each asked once; a file that doesn't answer with 200 is empty."""
+    out = {}
+    for u in map(urlsplit, map(normalise_url, seeds)):
+        if u.netloc.lower() not in out:
+            try:
+                got = fetch(f"{u.scheme}://{u.netloc}/robots.txt")
+                out[u.netloc.lower()] = got["body"] if got["status_code"] == 200 else ""
+            except (OSError, ValueError):
+                out[u.netloc.lower()] = ""
+    return sorted(out.items())
+
+
 def crawl_sites(spark: SparkSession, seeds: list[str], fetch_level: Callable[[DataFrame], DataFrame], parallel: int = 3, **options) -> DataFrame:
     """Crawls of several sites, ``parallel`` of them at a time, as one table of pages."""
     from concurrent.futures import ThreadPoolExecutor

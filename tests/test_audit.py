@@ -157,7 +157,7 @@ def test_registry_inherits_properties_only():
 
     r = load_registry()
     assert "datePublished" in r["BlogPosting"].properties and "url" in r["WebSite"].properties
-    assert r["Recipe"].required == ["name", "image", "recipeIngredient"] and "bestRating" in r["AggregateRating"].properties
+    assert r["Recipe"].required == ["name", "image", "recipeIngredient"] and "validFrom" in r["AggregateOffer"].properties
     assert load_registry("/nowhere.json") == r
 
 

@@ -40,7 +40,9 @@ def test_hierarchy_paths_roots_cycles(spark):
     assert d == {("root", "mid", 1), ("root", "leaf", 2), ("mid", "leaf", 1), ("root", "moved", 2), ("mid", "moved", 1)}
 
 
-def test_hierarchy_random_against_walk(spark):
+@pytest.mark.parametrize("tree_rows", [200_000, 140, 10])  # whole trees in tasks, the larger one in rounds, both in rounds
+def test_hierarchy_random_against_walk(spark, monkeypatch, tree_rows):
+    monkeypatch.setattr(H, "TREE_ROWS", tree_rows)
     rnd = random.Random(3)
     rows = []
     for reg in "pq":

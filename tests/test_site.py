@@ -42,7 +42,7 @@ def test_hreflang_site(spark):
         return [("en", h) for h in hrefs]
 
     rows = [(U + "/en", e(U + "/fr/", U + "/en")), (U + "/fr", e(U + "/en/")), (U + "/de", e(U + "/en", U + "/de"))]
-    df = spark.createDataFrame(rows, "url string, hreflang array<struct<lang:string,href:string>>")
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "seq long, url string, hreflang array<struct<lang:string,href:string>>")
     got = {(r.check_name.split("/")[1], r.url) for r in links.hreflang_site(df).collect()}
     assert got == {("missing-return-link", U + "/de"), ("self-reference-missing", U + "/fr")}
 

@@ -101,6 +101,7 @@ class Model:
         self.form, self.word = form or {}, word
         self._form: dict = {}
         self._bucket: dict = {}
+        self._seen: dict = {}
 
     def __getstate__(self):
         return {"form": self.form, "word": self.word}
@@ -511,7 +512,18 @@ def page_nodes(body: str) -> tuple[bool, list[Node]]:
 
 
 def capacities(nodes: list[Node], model: Model) -> list[float]:
-    return [max(-MOST, min(MOST, model.score(x.key, x.ws))) for x in nodes]
+    seen, out = model._seen, []
+    for x in nodes:
+        at = (x.text, x.key)
+        u = seen.get(at)
+        if u is None:
+            u = max(-MOST, min(MOST, model.score(x.key, x.ws)))
+            if len(x.text) <= 160:  # boilerplate repeats, long texts don't
+                if len(seen) > 60_000:
+                    seen.clear()
+                seen[at] = u
+        out.append(u)
+    return out
 
 
 def _text_heads(nodes: list[Node], u: list[float]) -> list[int]:
@@ -541,9 +553,11 @@ def cut_nodes(marked: bool, nodes: list[Node], model: Model) -> list[bool]:
     edges: list[tuple[int, int, float, float]] = []
     hub: dict[int, int] = {}
     wall: dict[int, int] = {}
-    lists: dict[int, int] = {}
     heads = [] if marked else _text_heads(nodes, u)
     below = [0] * len(nodes)
+    members: dict[int, int] = {}
+    for x in nodes:
+        members[x.region] = members.get(x.region, 0) + 1
     for i, x in enumerate(nodes):
         if i:
             p = nodes[i - 1]
@@ -556,17 +570,13 @@ def cut_nodes(marked: bool, nodes: list[Node], model: Model) -> list[bool]:
             edges.append((i, head, W_HEADING, 0.0))
             below[head] += 1
         if marked:
-            h = hub.get(x.region)
-            if h is None:
-                h = hub[x.region] = len(u)
-                u.append(0.0)
-            edges.append((i, h, W_DOM, W_DOM))
-            if x.box:
-                h = lists.get(x.region)
+            if members[x.region] > 1:  # a container of one node ties it to nothing
+                h = hub.get(x.region)
                 if h is None:
-                    h = lists[x.region] = len(u)
+                    h = hub[x.region] = len(u)
                     u.append(0.0)
-                edges.append((i, h, W_LIST, W_LIST))
+                w = W_DOM + W_LIST if x.box else W_DOM
+                edges.append((i, h, w, w))
             if x.wall >= 0:
                 h = wall.get(x.wall)
                 if h is None:

@@ -123,13 +123,13 @@ _COPIES = [("1", _WORDS), ("2", _WORDS + " "), ("3", _WORDS), ("4", _WORDS), ("5
 
 def cases_duplicates(spark: SparkSession, d: str) -> DataFrame:
     c = duplicates.body_classes(case_pages(spark, _COPIES).withColumn("text", F.trim(F.coalesce("body", F.lit("")))), url="url")
-    return links.union_issues(duplicates.exact_issues(c, all_pairs=True), duplicates.near_issues(c), duplicates.thin_issues(c)).select(*ISSUE_NAMES)
+    return links.union_issues(duplicates.exact_issues(c, all_pairs=True), duplicates.near_issues(c, all_pairs=True), duplicates.thin_issues(c)).select(*ISSUE_NAMES)
 
 
 _COPY = "page is an exact duplicate of "
 _COPY_ROWS = [
     (f"{SITE}/1", "content/exact-duplicate", "warning", f"{_COPY}{SITE}/3", ""), (f"{SITE}/1", "content/exact-duplicate", "warning", f"{_COPY}{SITE}/4", ""), (f"{SITE}/3", "content/exact-duplicate", "warning", f"{_COPY}{SITE}/4", ""),
-    (f"{SITE}/1", "content/near-duplicate", "info", f"page is near-duplicate of {SITE}/2 (similarity: 100%)", ""),
+    *[(f"{SITE}/{a}", "content/near-duplicate", "info", f"page is near-duplicate of {SITE}/{b} (similarity: 100%)", "") for a, b in ((1, 2), (2, 3), (2, 4))],
     (f"{SITE}/5", "content/thin-content", "info", "page has only 2 words of text content", ""), (f"{SITE}/6", "content/thin-content", "info", "page has only 0 words of text content", ""),
 ]
 

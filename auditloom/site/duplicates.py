@@ -106,10 +106,34 @@ def near_pairs(classes: DataFrame, most: int = HAMMING) -> DataFrame:
     return across.unionByName(same.select(F.col("first").alias("seq_a"), F.col("seq").alias("seq_b"), F.lit(0).alias("distance")))
 
 
-def near_issues(classes: DataFrame) -> DataFrame:
-    """Near-duplicates that are no exact ones, at the earlier page, with their similarity in percent."""
+def all_near_pairs(classes: DataFrame, most: int = HAMMING) -> DataFrame:
+    """``(seq_a, seq_b, distance)``, seq_a < seq_b, of all pages with different bodies whose SimHashes differ in ``most`` bits at most.
+
+    The pairs of hashes come from ``near_pairs``; their pages meet BLOCK pages against BLOCK a task. The
+    number of pairs is quadratic in the pages of a hash.
+    """
+    classes = materialise(classes.select("seq", "sha", "sim"))
+    sims = materialise(classes.groupBy("sim").agg(F.min("seq").alias("seq"), F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")))
+    firsts = sims.select("seq", F.col("sim").cast("string").alias("sha"), "sim")  # each hash as one body
+    met = near_pairs(firsts, most)
+    named = lambda x: sims.select(F.col("seq").alias(f"seq_{x}"), F.col("sim").alias(f"s{x}"), F.col("nb").alias(f"n{x}"))
+    pairs = met.join(named("a"), "seq_a").join(named("b"), "seq_b").select("sa", "na", "sb", "nb", "distance")
+    pairs = pairs.unionByName(sims.select(F.col("sim").alias("sa"), F.col("nb").alias("na"), F.col("sim").alias("sb"), "nb", F.lit(0).alias("distance")))
+    pairs = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    at = classes.join(sims.select("sim", "nb"), "sim").withColumn("blk", F.pmod(F.xxhash64("seq"), F.col("nb")).cast("int"))
+    left = at.select(F.col("seq").alias("x"), F.col("sha").alias("hx"), F.col("sim").alias("sa"), F.col("blk").alias("i"))
+    right = at.select(F.col("seq").alias("y"), F.col("sha").alias("hy"), F.col("sim").alias("sb"), F.col("blk").alias("j"))
+    out = pairs.select("sa", "i", "sb", "j", "distance").join(left, ["sa", "i"]).join(right, ["sb", "j"]).where("hx <> hy AND (sa <> sb OR x < y)")
+    return out.select(F.least("x", "y").alias("seq_a"), F.greatest("x", "y").alias("seq_b"), "distance")
+
+
+def near_issues(classes: DataFrame, all_pairs: bool = False) -> DataFrame:
+    """Near-duplicates that are no exact ones, at the earlier page, with their similarity in percent.
+
+    By default between the first pages of bodies and hashes; ``all_pairs`` gives one issue for each pair of pages.
+    """
     urls = classes.select("seq", "url")
-    p = near_pairs(classes).join(urls.select(F.col("seq").alias("seq_a"), F.col("url").alias("ua")), "seq_a").join(urls.select(F.col("seq").alias("seq_b"), F.col("url").alias("ub")), "seq_b")
+    p = (all_near_pairs(classes) if all_pairs else near_pairs(classes)).join(urls.select(F.col("seq").alias("seq_a"), F.col("url").alias("ua")), "seq_a").join(urls.select(F.col("seq").alias("seq_b"), F.col("url").alias("ub")), "seq_b")
     pct = rounded((64 - F.col("distance")) / 64 * 100)
     return as_issues(p, issue("content/near-duplicate", INFO, F.concat(F.lit("page is near-duplicate of "), F.col("ub"), F.lit(" (similarity: "), pct, F.lit("%)")), url=F.col("ua")))
 

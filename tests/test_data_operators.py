@@ -138,7 +138,10 @@ def test_orphan_references_kinds(spark):
     assert R.orphan_references(p.limit(0)).count() == 0
 
 
-def test_orphan_references_random(spark):
+@pytest.mark.parametrize("salt_rows, hot_keys", [(100_000, 100), (20, 100), (20, 0)])  # no hot key, hot keys broadcast, hot keys joined
+def test_orphan_references_random(spark, monkeypatch, salt_rows, hot_keys):
+    monkeypatch.setattr(R, "SALT_ROWS", salt_rows)
+    monkeypatch.setattr(R, "HOT_KEYS", hot_keys)
     rnd = random.Random(5)
     facts = []
     for i in range(300):
@@ -162,6 +165,17 @@ def test_orphan_references_random(spark):
     assert {(r.seq, r.link, r.kind) for r in R.orphan_references(p).collect()} == want
 
 
+def test_tables_are_written_once_for_the_same_files(spark, tmp_path):
+    rows = [(1, "s", NOW, '{"pages": [{"url": "u", "links": ["a", null, "b"]}], "issues": [{"check_name": "c"}]}', "x")]
+    at = str(tmp_path / "crawls.parquet")
+    spark.createDataFrame(rows, CRAWLS).write.parquet(at)
+    one = N.written_once(spark.read.parquet(at))
+    assert N.written_once(spark.read.parquet(at)) is one and {r.kind for r in one.collect()} == {"page", "link", "issue"}
+    assert [r.value for r in N.flat_table(one, "link").orderBy("sub").collect()] == ["a", "b"] and N.flat_table(one, "page").first().url == "u"
+    spark.createDataFrame([(2, *rows[0][1:])], CRAWLS).write.mode("append").parquet(at)
+    assert {r.crawl_id for r in N.written_once(spark.read.parquet(at)).collect()} == {1, 2}
+
+
 SNAPS = "baseline_id long, site string, seed_url string, created_at timestamp, version string, n_issues long"
 ROWS = "row_id long, baseline_id long, site string, seq long, check_name string, severity string, message string, url string, detail string, change string"
 

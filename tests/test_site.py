@@ -56,6 +56,41 @@ def test_external_and_probes(spark):
     assert got == {"external-links/redirect": f"redirects to: https://z; linked from: {U}/1, {U}/2", "external-links/timeout": f"linked from: {U}/1"}
 
 
+def test_all_near_pairs_against_each_with_each(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "BLOCK", 3)
+    rnd = random.Random(4)
+    base = [rnd.getrandbits(64) - (1 << 63) for _ in range(4)]
+    rows = []
+    for i in range(60):
+        b = base[i % 4]
+        for k in rnd.sample(range(63), rnd.choice([0, 0, 1, 2, 4])):
+            b ^= 1 << k
+        rows.append((i, f"u{i}", f"sha{rnd.randrange(40)}" if i % 5 else "one", b, 9))
+    bits = lambda x: (x & (1 << 64) - 1).bit_count()
+    want = {(a[0], b[0], bits(a[3] ^ b[3])) for a in rows for b in rows if a[0] < b[0] and a[2] != b[2] and bits(a[3] ^ b[3]) <= duplicates.HAMMING}
+    df = spark.createDataFrame(rows, "seq long, url string, sha string, sim long, n_words int")
+    got = [(r.seq_a, r.seq_b, r.distance) for r in duplicates.all_near_pairs(df).collect()]
+    assert set(got) == want and len(got) == len(want) > 100 and duplicates.near_issues(df, all_pairs=True).count() == len(want)
+
+
+def test_targets_of_very_many_sources_have_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(links, "SOURCES", 4)
+    monkeypatch.setattr(links._blocks, "__defaults__", (4,))
+    p = pages(spark, *[{"url": f"{U}/{i:02d}", "links": ["https://o.org/a"], "redirect_chain": ["https://old.org"] if i == 0 else []} for i in range(30)], {"url": f"{U}/z", "links": ["https://old.org"]})
+    rows = links.external_targets(p).where("url = 'https://o.org/a'").collect()
+    assert len(rows) > 4 and sorted(x for r in rows for x in r.sources) == [f"{U}/{i:02d}" for i in range(30)] and all(r.sources == sorted(r.sources) for r in rows)
+
+
+def test_crawl_obeys_robots(spark):
+    p = pages(spark, {"url": U, "links": [U + "/open", U + "/shut", U + "/shut/but"]}, {"url": U + "/open", "links": [U + "/shut/2"]}, {"url": U + "/shut", "links": [U + "/behind"]}, {"url": U + "/shut/but"}, {"url": U + "/shut/2"}, {"url": U + "/behind"})
+    files = spark.createDataFrame([("example.com", "User-agent: auditloom\nDisallow: /shut\nAllow: /shut/but\n")], "host string, text string")
+    got = {r.url for r in crawl.crawl(spark, U, crawl.table_fetcher(p), robots=files).collect()}
+    assert got == {U, U + "/open", U + "/shut/but"}
+    assert crawl.crawl(spark, U, crawl.table_fetcher(p), robots=files.limit(0)).count() == 6
+    assert crawl.crawl(spark, U, crawl.table_fetcher(p), robots=files, agent="other/2").count() == 6
+    assert {r.url for r in crawl.crawl(spark, U, crawl.table_fetcher(p), robots=files, max_pages=3).collect()} == {U, U + "/open"}  # what is disallowed counts towards the cap
+
+
 def test_tls(spark):
     import datetime
 

@@ -9,6 +9,7 @@ import time
 from pyspark.sql import functions as F
 
 from auditloom.config import Config, dump, load_config
+from auditloom.logs import log, set_up
 from auditloom.model import PAGES
 from auditloom.operators.baseline import baseline_diff, load_baseline, save_baseline
 from auditloom.plans.audit import Registry, page_issues
@@ -68,6 +69,7 @@ def run_audit(spark, pages, cfg: Config, seed: str, analysis: bool = False, metr
     if metrics_file:
         with open(metrics_file, "w") as f:
             f.write(prometheus(result))
+    log.info("%s: %d pages, %s issues in %.1f s", seed, result.pages, sum(result.counts().values()), result.duration_ns / 1e9)
     result.issues = S.filter_issues(issues, cfg.filter_severity.split(","), cfg.filter_category.split(","))
     write_reports(result, cfg.formats(), cfg.output_file)
     return S.exit_code(result.issues, cfg.fail_on) if cfg.fail_on else 0
@@ -100,6 +102,7 @@ def _pages(spark, a, cfg: Config):
 def main(argv: list[str] | None = None) -> int:
     a = _arguments().parse_args(argv)
     cfg = load_config(a.config, **_flags(a))
+    set_up(cfg.log_level, cfg.log_format)
     if a.command == "validate":
         sys.stdout.write(dump(cfg))
         return 0

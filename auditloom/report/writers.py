@@ -148,7 +148,7 @@ def to_html(result: Result) -> Iterator[str]:
         ".critical{color:#a00}.warning{color:#a60}.info{color:#06a}</style></head><body>\n"
         f"<h1>Site Audit Report</h1>\n<p>{e(result.seed_url)} &middot; {result.pages} pages &middot; {e(result.crawled_at)} &middot; {_seconds(result.duration_ns)}</p>\n<ul>"
         + "".join(f"<li class=\"{s}\">{s}: {n.get(s, 0)}</li>" for s in _LEVEL)
-        + "</ul>\n<label>Filter <input id=\"q\"></label>\n<table id=\"t\"><thead><tr><th>Severity</th><th>Check</th><th>URL</th><th>Message</th><th>Detail</th></tr></thead><tbody>\n"
+        + "</ul>\n<label>Severity <select id=\"s\"><option value=\"\">all</option>" + "".join(f"<option>{s}</option>" for s in _LEVEL) + "</select></label> <label>Filter <input id=\"q\"></label>\n<table id=\"t\"><thead><tr><th>Severity</th><th>Check</th><th>URL</th><th>Message</th><th>Detail</th></tr></thead><tbody>\n"
     )
     for r in result.rows():
         yield f"<tr class=\"{e(r['severity'])}\"><td>{e(r['severity'])}</td><td>{e(r['check_name'])}</td><td>{e(r['url'])}</td><td>{e(r['message'])}</td><td>{e(r['detail'])}</td></tr>\n"
@@ -161,8 +161,8 @@ def to_html(result: Result) -> Iterator[str]:
     if k >= 0:
         yield "</table>\n"
     yield (
-        "<script>document.getElementById('q').addEventListener('input',function(){var q=this.value.toLowerCase();document.querySelectorAll('#t tbody tr').forEach(function(r){"
-        "r.style.display=r.textContent.toLowerCase().indexOf(q)<0?'none':''})})</script>\n</body></html>\n"
+        "<script>(function(){var q=document.getElementById('q'),s=document.getElementById('s');function show(){var w=q.value.toLowerCase();document.querySelectorAll('#t tbody tr').forEach(function(r){"
+        "r.style.display=r.textContent.toLowerCase().indexOf(w)<0||s.value&&r.className!==s.value?'none':''})}q.addEventListener('input',show);s.addEventListener('change',show)})()</script>\n</body></html>\n"
     )
 
 

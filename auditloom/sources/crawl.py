@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from auditloom.functions.columns import authority, glob_regex, path
+from auditloom.logs import log
 from auditloom.model import PAGES
 from auditloom.session import map_arrow, materialise
 from auditloom.sources.robots import decide, robots_rules
@@ -167,6 +168,7 @@ def crawl(spark: SparkSession, seed: str, fetch_level: Callable[[DataFrame], Dat
         seen = materialise(seen.unionByName(tasks))
         got = materialise(fetch_level(tasks if rules is None else tasks.join(decide(tasks, rules).where("allowed"), "url", "left_semi")))
         levels.append(got)
+        log.info("crawl of %s: level %d fetched", seed, len(levels) - 1)
         if checkpoint:
             save_frontier(seen, tasks, checkpoint, seed)
         found = _linked(got)

@@ -52,10 +52,13 @@ def audit_into(stream: DataFrame, folder: str, checkpoint: str, site_checks: Cal
 def page_changes(stream: DataFrame, late: str = "7 days") -> DataFrame:
     """``(url, fetched_at, change)``: whether a fetch is the first of its URL, like the last one or changed.
 
-    State is one hash per URL and is dropped when the URL isn't fetched for longer than the watermark.
+    State is one hash per URL and is dropped when the URL isn't fetched for longer than ``late``, the watermark's delay.
     """
+    import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    keep = int(pd.Timedelta(late).total_seconds() * 1000)
+
     def each(key, batches, state: GroupState):
         import pandas as pd
 
@@ -70,7 +73,7 @@ def page_changes(stream: DataFrame, late: str = "7 days") -> DataFrame:
             out.append("first" if last is None else "same" if h == last else "changed")
             last = h
         state.update((last,))
-        state.setTimeoutTimestamp(int(rows["fetched_at"].max().timestamp() * 1000) + 7 * 86_400_000)
+        state.setTimeoutTimestamp(int(rows["fetched_at"].max().timestamp() * 1000) + keep)
         yield pd.DataFrame({"url": rows["url"], "fetched_at": rows["fetched_at"], "change": out})
 
     hashed = stream.withWatermark("fetched_at", late).select("url", "fetched_at", F.sha2(F.coalesce("body", F.lit("")), 256).alias("hash"))

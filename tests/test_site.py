@@ -407,3 +407,19 @@ def test_lighthouse_command_reports_every_row(spark, tmp_path, monkeypatch, form
     text = out.read_text()
     places = [text.find(r[0]) for r in rows]
     assert min(places) >= 0 and places == sorted(places) and (form != "json" or len(json.loads(text)["lighthouse"]) == 1203)
+
+
+def test_log_lines():
+    import io
+
+    from auditloom.logs import log, set_up
+
+    out = io.StringIO()
+    set_up("warn", "json", out)
+    log.info("not shown")
+    log.warning("shown %d", 3)
+    line = json.loads(out.getvalue())
+    assert (line["level"], line["message"]) == ("warning", "shown 3") and line["time"].endswith("Z")
+    out = io.StringIO()
+    set_up("debug", "pretty", out).debug("plain")
+    assert out.getvalue().rstrip().endswith("DEBUG   plain")

@@ -548,45 +548,102 @@ def _text_heads(nodes: list[Node], u: list[float]) -> list[int]:
 
 
 def cut_nodes(marked: bool, nodes: list[Node], model: Model) -> list[bool]:
-    """Which nodes are main content."""
+    """Which nodes are main content: the minimum cut of the page's graph.
+
+    A node whose capacity outweighs all that its edges may cost keeps its side in every minimum cut. These
+    are told from their edges' sums, and only the others, with what the decided ones pull at them, make
+    up the graph that is cut.
+    """
     u = capacities(nodes, model)
-    edges: list[tuple[int, int, float, float]] = []
-    hub: dict[int, int] = {}
-    wall: dict[int, int] = {}
-    heads = [] if marked else _text_heads(nodes, u)
-    below = [0] * len(nodes)
+    n = len(nodes)
+    heads = [x.head for x in nodes] if marked else _text_heads(nodes, u)
+    below: dict[int, int] = {}
+    for h in heads:
+        if h >= 0:
+            below[h] = below.get(h, 0) + 1
     members: dict[int, int] = {}
-    for x in nodes:
-        members[x.region] = members.get(x.region, 0) + 1
+    if marked:
+        for x in nodes:
+            members[x.region] = members.get(x.region, 0) + 1
+    near = W_SAME if marked else W_LINE
+    link = [0.0] * (n + 1)  # weight of the edge to the node before
+    for i in range(1, n):
+        x, p = nodes[i], nodes[i - 1]
+        link[i] = W_LINE_BREAK if x.block and x.block == p.block else near if x.region == p.region else W_ACROSS
+    side: list[bool | None] = [None] * n
     for i, x in enumerate(nodes):
-        if i:
-            p = nodes[i - 1]
-            w = W_LINE_BREAK if x.block and x.block == p.block else (W_SAME if marked else W_LINE) if x.region == p.region else W_ACROSS
-            edges.append((i - 1, i, w, w))
-        head = x.head
-        if not marked:
-            head = heads[i]
-        if head >= 0:
-            edges.append((i, head, W_HEADING, 0.0))
-            below[head] += 1
-        if marked:
-            if members[x.region] > 1:  # a container of one node ties it to nothing
-                h = hub.get(x.region)
+        k = below.get(i, 0)
+        if k:
+            u[i] *= 1 + k  # a heading speaks for all that stands below it
+        down = link[i] + link[i + 1]
+        if marked and members[x.region] > 1:
+            down += W_DOM + W_LIST if x.box else W_DOM
+        up = down + (W_HEADING if heads[i] >= 0 else 0.0) + (W_WALL if x.wall >= 0 else 0.0)
+        if u[i] >= up:
+            side[i] = True
+        elif -u[i] >= down + W_HEADING * k:
+            side[i] = False
+    open_ = [i for i in range(n) if side[i] is None]
+    if open_:
+        _cut_open(marked, nodes, u, heads, members, link, side, open_)
+    return side  # type: ignore[return-value]
+
+
+def _cut_open(marked: bool, nodes: list[Node], u: list[float], heads: list[int], members: dict[int, int], link: list[float], side: list[bool | None], open_: list[int]) -> None:
+    """Cut the graph of the undecided nodes and their hubs; ``side`` takes the result."""
+    at = {i: k for k, i in enumerate(open_)}
+    cap = [u[i] for i in open_]
+    edges: list[tuple[int, int, float, float]] = []
+
+    def tie(i: int, j: int, w: float, v: float) -> None:
+        """An edge between nodes, of which one is decided, perhaps."""
+        a, b = at.get(i), at.get(j)
+        if a is not None and b is not None:
+            edges.append((a, b, w, v))
+        elif a is not None:
+            cap[a] += v if side[j] else -w
+        elif b is not None:
+            cap[b] += w if side[i] else -v
+
+    done = -1
+    for i in open_:
+        if i and i - 1 != done:
+            tie(i - 1, i, link[i], link[i])
+        elif i:
+            edges.append((at[i - 1], at[i], link[i], link[i]))
+        if i + 1 < len(nodes) and side[i + 1] is not None:
+            tie(i, i + 1, link[i + 1], link[i + 1])
+        done = i
+    for i, h in enumerate(heads):
+        if h >= 0 and (i in at or h in at):
+            tie(i, h, W_HEADING, 0.0)
+    if marked:
+        regions = {nodes[i].region for i in open_ if members[nodes[i].region] > 1}
+        walls = {nodes[i].wall for i in open_ if nodes[i].wall >= 0}
+        hub: dict[tuple, int] = {}
+        for i, x in enumerate(nodes if regions or walls else ()):
+            if x.region in regions:
+                h = hub.get((0, x.region))
                 if h is None:
-                    h = hub[x.region] = len(u)
-                    u.append(0.0)
+                    h = hub[0, x.region] = len(cap)
+                    cap.append(0.0)
                 w = W_DOM + W_LIST if x.box else W_DOM
-                edges.append((i, h, w, w))
-            if x.wall >= 0:
-                h = wall.get(x.wall)
+                if i in at:
+                    edges.append((at[i], h, w, w))
+                else:
+                    cap[h] += w if side[i] else -w
+            if x.wall in walls:
+                h = hub.get((1, x.wall))
                 if h is None:
-                    h = wall[x.wall] = len(u)
-                    u.append(-MOST)
-                edges.append((i, h, W_WALL, 0.0))
-                u[h] -= MOST
-    for i, n in enumerate(below):  # a heading speaks for all that stands below it
-        u[i] *= 1 + n
-    return min_cut(u, edges)[: len(nodes)]
+                    h = hub[1, x.wall] = len(cap)
+                    cap.append(-MOST)
+                cap[h] -= MOST
+                if i in at:
+                    edges.append((at[i], h, W_WALL, 0.0))
+                elif side[i]:
+                    cap[h] += W_WALL
+    for i, keep in zip(open_, min_cut(cap, edges)):
+        side[i] = keep
 
 
 #: The classifier before any page was seen.

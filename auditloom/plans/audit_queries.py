@@ -596,3 +596,14 @@ SQL["sink_csv"] = f"SELECT {', '.join(_CELL.format(c) for c in ISSUE_COLS)} FROM
 SQL["stored_cache"] = """SELECT url, arg_max(coalesce(headers['last-modified'][1], ''), (fetched_at, seq)) AS last_modified, arg_max(coalesce(headers['etag'][1], ''), (fetched_at, seq)) AS etag,
     arg_max(sha256(coalesce(body, '')), (fetched_at, seq)) AS content_hash FROM pages WHERE url IS NOT NULL GROUP BY url"""
 SQL["stored_baseline"] = "SELECT 'existing' AS status, check_name, count(*) AS n FROM baseline_issues GROUP BY check_name"
+SQL["seo_issues"] = f"""SELECT check_name, severity, count(*) AS n FROM (SELECT check_name, severity FROM ({SQL['dom_issues']}) WHERE starts_with(check_name, 'seo/')
+    UNION ALL SELECT check_name, CASE WHEN check_name = 'seo/missing-title' THEN 'critical' ELSE 'warning' END FROM ({SQL['title_issues']})
+    UNION ALL SELECT 'seo/url-issues', 'info' FROM pages WHERE lower(content_type) LIKE '%text/html%' AND {_REASONS} <> '') GROUP BY ALL"""
+SQL["structured_data_issues"] = f"SELECT check_name, count(*) AS n FROM ({SQL['dom_issues']}) WHERE starts_with(check_name, 'structured-data/') GROUP BY 1"
+SQL["body_links"] = """SELECT seq, len(regexp_extract_all(b, '<a href="(?i)https?://')) AS n_links, len(regexp_extract_all(b, '<(img|script) src="https?://')) + len(regexp_extract_all(b, '<link rel="stylesheet" href="https?://')) AS n_assets
+    FROM (SELECT seq, coalesce(body, '') AS b FROM pages WHERE contains(content_type, 'text/html'))"""
+SQL["speed_issues"] = f"""WITH m AS ({SQL['speed_summary']}), i AS ({SQL['lighthouse_issues']})
+    SELECT check_name, severity, count(*) AS n FROM i GROUP BY ALL
+    UNION ALL SELECT 'lighthouse/poor-site-performance', 'warning', 1 FROM m WHERE n > 0 AND avg_performance < 50
+    UNION ALL SELECT 'lighthouse/poor-site-accessibility', 'warning', 1 FROM m WHERE n > 0 AND avg_accessibility < 90
+    UNION ALL SELECT 'lighthouse/low-pass-rate', 'info', 1 FROM m WHERE n > 0 AND pass_rate < 50"""
